@@ -39,6 +39,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.hmm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.quality_rules import quality_rules
 
