@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspur.llm.common import run_folder, table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 #: Rules of op3: rule (host and path) and verdict.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
