@@ -82,10 +82,15 @@ def sigmoid(v: float) -> float:
     return 1 / (1 + exp(-max(-50.0, min(50.0, v))))
 
 
-def train(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, **ftrl) -> dict[int, float]:
-    """labelled: _id, _text, _label (0 or 1). Weights by slot."""
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, **ftrl) -> dict[int, float]:
+    """docs: _id, _text; labels: _id, _label (0 or 1), ids once. Weights by slot.
+
+    The sample is drawn from the labels alone, so that no text is moved but the sample's; its ids, TRAIN_ROWS at most, are broadcast.
+    """
     setting = FTRL | ftrl
-    sample = labelled.where("_label is not null and _id is not null").orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(7)), "_id").limit(train_rows).select("_text", F.col("_label").cast("double").alias("_label"))
+    order = [F.xxhash64(F.col("_id").cast("string"), F.lit(7)), F.col("_id")]
+    drawn = labels.where("_label is not null and _id is not null").orderBy(*order).limit(train_rows).select("_id", F.col("_label").cast("double").alias("_label"))
+    sample = docs.join(F.broadcast(drawn), "_id").repartition(1).sortWithinPartitions(*order, "_text").select("_text", "_label")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, model = Hasher(bits), Ftrl(bits, **setting)
@@ -96,7 +101,7 @@ def train(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, *
         at = np.flatnonzero(w)
         yield record_batch(slot=pa.array(at, pa.int64()), weight=pa.array(w[at], pa.float64()))
 
-    found = sample.coalesce(1).mapInArrow(fit, "slot long, weight double").toArrow()
+    found = sample.mapInArrow(fit, "slot long, weight double").toArrow()
     return dict(zip(found["slot"].to_pylist(), found["weight"].to_pylist(), strict=True))
 
 
@@ -128,5 +133,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """id, held_out, score and predicted for each row of docs. Labels of the held-out fold are not read by training."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where(~held_out(F.col("_id"), folds, fold)).groupBy("_id").agg(F.max("_label").alias("_label"))
-    found = scored(rows, train(rows.join(known, "_id"), bits, **training), bits)
+    found = scored(rows, train(rows, known, bits, **training), bits)
     return found.select(F.col("_id").alias(id_col), held_out(F.col("_id"), folds, fold).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
