@@ -31,24 +31,25 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import record_batch
 
 #: Words of more bytes leave the recursion; words of one recursion; words remembered; characters of texts taken together.
-LONG, TOGETHER, REMEMBERED, CHARACTERS = 256, 20_000, 300_000, 2 << 20
+LONG, TOGETHER, REMEMBERED, CHARACTERS = 256, 60_000, 200_000, 2 << 20
 #: Bytes of a rank file that are broadcast at most.
 MOST_BYTES = 64 << 20
 
+#: A row is a token; its key is the word's number and the token's place in it (8 bits). best: rank, place and next place.
 CONTRACT = """
-WITH RECURSIVE run(word, place, token, more) AS (
-    SELECT word, place, token, true FROM given
+WITH RECURSIVE run(k, token, more) AS (
+    SELECT k, token, true FROM given
   UNION ALL
-    SELECT word, place, made, best IS NOT NULL FROM (
-        SELECT word, place, best, CASE WHEN place = best & 65535 THEN (best >> 16)::INT ELSE token END AS made,
-               lag(place) OVER (PARTITION BY word ORDER BY place) AS before
-        FROM (
-            SELECT word, place, token, min((merges.made::BIGINT << 16) | place) OVER (PARTITION BY word) AS best
-            FROM (SELECT word, place, token, lead(token) OVER (PARTITION BY word ORDER BY place) AS next FROM run WHERE more) AS pairs
-            LEFT JOIN merges ON merges.l = pairs.token AND merges.r = pairs.next))
-    WHERE best IS NULL OR before IS NULL OR before <> best & 65535
+    SELECT * FROM (
+        WITH pairs AS MATERIALIZED (
+            SELECT k, token, lead(token) OVER w AS next, lead(k) OVER w AS after FROM run WHERE more WINDOW w AS (ORDER BY k)),
+        best AS (
+            SELECT k >> 8 AS word, min((merges.made::BIGINT << 16) | ((k & 255) << 8) | (after & 255)) AS b
+            FROM pairs JOIN merges ON merges.l = pairs.token AND merges.r = pairs.next WHERE k >> 8 = after >> 8 GROUP BY k >> 8)
+        SELECT k, CASE WHEN k & 255 = (b >> 8) & 255 THEN (b >> 16)::INT ELSE token END, b IS NOT NULL
+        FROM pairs LEFT JOIN best ON word = k >> 8 WHERE b IS NULL OR k & 255 <> b & 255)
 )
-SELECT word, list(token ORDER BY place) AS tokens FROM run WHERE NOT more GROUP BY word ORDER BY word
+SELECT k >> 8 AS word, list(token ORDER BY k) AS tokens FROM run WHERE NOT more GROUP BY k >> 8 ORDER BY word
 """
 PUT_TOGETHER = "SELECT piece, array_to_string(list(shown ORDER BY place), '') AS text FROM given JOIN vocabulary USING (token) GROUP BY piece ORDER BY piece"
 
@@ -62,7 +63,7 @@ class Codec:
 
     def __init__(self, raw: bytes, pattern: str):
         self.ranks, self.words = read_ranks(raw), regex.compile(pattern)
-        ranks, self.known = self.ranks, {}
+        ranks, self.known, self.shown = self.ranks, {}, {}
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         pairs = np.array([(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks], np.int32).reshape(-1, 3)
@@ -88,7 +89,7 @@ class Codec:
         lens = np.array([len(w) for w in words])
         flat = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         starts = np.cumsum(lens) - lens
-        out = self._given(CONTRACT, word=np.repeat(np.arange(len(words), dtype=np.int32), lens), place=(np.arange(len(flat)) - np.repeat(starts, lens)).astype(np.int32), token=flat)
+        out = self._given(CONTRACT, k=np.repeat(np.arange(len(words)) << 8, lens) + np.arange(len(flat)) - np.repeat(starts, lens), token=flat)
         tokens = out["tokens"].combine_chunks()
         edges, values = tokens.offsets.to_numpy(), tokens.values.to_numpy()
         return [values[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
@@ -134,36 +135,41 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.words.findall(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        found = self.learn(new) if new else {}
-        room = REMEMBERED - len(self.known)
-        if room >= len(found):
-            self.known |= found
-            get = self.known.__getitem__
-        else:
-            for w in list(found)[: max(0, room)]:
-                self.known[w] = found[w]
-            known = self.known
-            get = lambda w: known.get(w) or found[w]
-        return [b"".join(map(get, words)) for words in cut]
+        return put_together([self.words.findall(t) for t in texts], self.known, self.learn)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of ids."""
-        pieces, texts = {}, []
+        pieces = []
         for raw in ids:
             tokens = np.frombuffer(raw, "<u4")
             if len(tokens) and (tokens.max() >= len(self.valid) or not self.valid[tokens].all()):
                 raise ValueError("an id is not in the vocabulary")
             cuts = np.flatnonzero(self.starts[tokens]) * 4
-            edges = [0, *cuts[cuts > 0].tolist(), len(raw)] if len(raw) else [0]
-            texts.append([pieces.setdefault(raw[i:j], len(pieces)) for i, j in zip(edges[:-1], edges[1:], strict=True)])
-        if not pieces:
-            return [b""] * len(ids)
+            edges = [0, *cuts[cuts > 0].tolist(), len(raw)]
+            pieces.append(list(map(raw.__getitem__, map(slice, edges[:-1], edges[1:]))))
+        return put_together(pieces, self.shown, self.show)
+
+    def show(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Bytes of pieces of id sequences."""
         lens = np.array([len(p) // 4 for p in pieces])
         out = self._given(PUT_TOGETHER, piece=np.repeat(np.arange(len(lens), dtype=np.int32), lens), place=np.arange(int(lens.sum()), dtype=np.int32), token=np.frombuffer(b"".join(pieces), "<u4").astype(np.int32))
-        shown = [x.encode("latin-1") for x in out["text"].to_pylist()]
-        return [b"".join([shown[k] for k in text]) for text in texts]
+        found = dict.fromkeys(pieces, b"")
+        order = list(pieces)
+        for k, text in zip(out["piece"].to_pylist(), out["text"].to_pylist(), strict=True):
+            found[order[k]] = text.encode("latin-1")
+        return found
+
+
+def put_together(parts: list[list], known: dict, learn: Callable[[set], dict]) -> list[bytes]:
+    """Each text from its parts. What is new is learned together; known keeps REMEMBERED entries at most."""
+    new = set().union(*parts).difference(known)
+    found = learn(new) if new else {}
+    over = len(known) + len(found) - REMEMBERED
+    known |= found
+    out = [b"".join(map(known.__getitem__, some)) for some in parts]
+    for w, _ in zip(found, range(over), strict=False):
+        del known[w]
+    return out
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
