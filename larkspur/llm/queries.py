@@ -45,6 +45,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), key="larkspur")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.warc import read_archives, write_archives
 
