@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import record_batch
 
 #: Words of more bytes leave the recursion; words of one recursion; words remembered; characters of texts taken together.
-LONG, TOGETHER, REMEMBERED, CHARACTERS = 256, 60_000, 200_000, 2 << 20
+LONG, TOGETHER, REMEMBERED, CHARACTERS = 256, 60_000, 600_000, 4 << 20
 #: Bytes of a rank file that are broadcast at most.
 MOST_BYTES = 64 << 20
 
