@@ -46,8 +46,23 @@ def run_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Plans of only these give their rows in the same partitions and order each time they run.
+STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, if it is read from files or given rows; else (shuffled, cached or joined) written to the shared folder, so that row numbers hold."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() not in STEADY:
+            return checkpointed(df)
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return df
+
+
 def with_rid(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """A row number by partition and place. It is the same in every read of files or local rows, so it may key a join back."""
+    """A row number by partition and place. It is the same in every run over settled rows, so it may key a join back."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

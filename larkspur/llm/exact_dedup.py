@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ascii_lower, checkpointed, record_batch, rows_by_rid, with_rid
+from larkspur.llm.common import ascii_lower, checkpointed, record_batch, rows_by_rid, settled, with_rid
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525013)
@@ -124,7 +124,7 @@ def _differing(docs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE, chunk: int = CHUNK, primes: tuple[int, int] = PRIMES) -> DataFrame:
     """A row for each row of docs: _rid, _id, _n, _sha, keep_id, group_size, kept."""
-    docs = with_rid(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_rid", "_id", "_text")
+    docs = with_rid(settled(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_rid", "_id", "_text")
     marks = checkpointed(fingerprints(docs, huge, chunk, primes))
     key = ["_n", "_f0", "_f1", "_round"]
     todo, found, turn = marks.select("_rid", "_id", "_n", "_f0", "_f1", F.lit(0).alias("_round")), None, 0
@@ -152,5 +152,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
+    docs = settled(docs)
     gone = classes(docs, id_col, text_col, **options).where(~F.col("kept")).select("_rid")
     return rows_by_rid(docs, gone, "left_anti")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, record_batch, rows_by_rid, with_rid
+from larkspur.llm.common import checkpointed, record_batch, rows_by_rid, settled, with_rid
 
 WIDTH, PERCENT = 5, 75
 #: Entries and documents after which a block is closed; entries that a task adds up at a time, about.
@@ -316,6 +316,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay: of each component the first row of the least id. Columns of docs may have any names."""
+    docs = settled(docs)
     keys = with_rid(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select(F.struct("_id", "_rid").alias("_key"), "_text")
     found = jaccard_components(keys, "_key", "_text", **options)
     return rows_by_rid(docs, found.where("_key != component_id").select(F.col("_key._rid").alias("_rid")), "left_anti")

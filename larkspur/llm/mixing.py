@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, checkpointed, with_rid
+from larkspur.llm.common import WORD, checkpointed, settled, with_rid
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 4096
@@ -96,7 +96,7 @@ def rounded(sizes: np.ndarray, rates: np.ndarray, most: int) -> np.ndarray:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """A row for each row of docs: _rid, _id, _size, _source_size, _target, _rate, _copies."""
-    rows = with_rid(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("_source")))
+    rows = with_rid(settled(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("_source")))
     sized = checkpointed(rows.select("_rid", "_id", "_source", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size")))
     sizes = checkpointed(sized.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_count")))
     sources = sizes.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_count")).alias("_words"), F.sum(F.when(F.col("_size") > 0, F.col("_count")).otherwise(0)).alias("_docs"), F.sum("_count").alias("_all"))
@@ -125,6 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; columns of docs may have any names."""
+    docs = settled(docs)
     copies = mixed(docs, id_col, **options).where("_copies > 0").select("_rid", "_copies")
     packed = with_rid(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")))
     return packed.join(copies, "_rid").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

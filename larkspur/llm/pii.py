@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, with_rid
+from larkspur.llm.common import checkpointed, settled, with_rid
 
 # Titles by gender.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir", "Lord", "Don", "г-н", "господин", "κύριος")
@@ -182,7 +182,7 @@ KINDS = ("email", "phone", "ip", "card", "account", "ssn", "secret", "name")
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_entities, a count of each kind, and the text with surrogates, for each row."""
-    rows = with_rid(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).withColumn("_found", found(F.col("_text")))
+    rows = with_rid(settled(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).withColumn("_found", found(F.col("_text")))
     hits = rows.where(F.size("_found") > 0)
     pieces_of = F.split("_text", PATTERN, -1)
     before = F.transform(F.slice(F.col("_between"), 1, F.size("_found")), lambda p: F.substring(p, -12, 12))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BLANKS, checkpointed, record_batch, rows_by_rid, with_rid
+from larkspur.llm.common import BLANKS, checkpointed, record_batch, rows_by_rid, settled, with_rid
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -129,5 +129,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", **columns) -> DataFra
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
+    docs = settled(docs)
     good = judged(docs, id_col, **columns).where("kept").select("_rid")
     return rows_by_rid(docs, good, "left_semi")

@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and its reader.
 
 Records are range-sorted: a shard is an interval of RANGE ids, so it depends on no partitioning or sampling. Within
-a shard they are written in order of id, a gzip member each, to files that roll at `roll` compressed bytes. Headers
+a shard they are written in order of id (then digest and url), a gzip member each, to files that roll at `roll` compressed bytes. Headers
 and digests are made anew from url, payload and a fixed date, so a rerun writes the same bytes. A file is written
 under a temporary name and renamed when whole; the manifest, written last, names the files that count, so what a
 lost executor leaves behind is never read. Of records with equal payloads of at least `least` bytes, the one with
@@ -27,9 +27,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, record_batch, with_rid
+from larkspur.llm.common import checkpointed, record_batch, settled, with_rid
 
 RANGE = 4096
+#: Shards of rows without an id.
+WITHOUT_ID = 1024
 ROLL = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,14 +112,15 @@ class Shard:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = DATE, roll: int = ROLL, ids_per_shard: int = RANGE) -> DataFrame:
     """Writes a record for each row of pages under folder. Gives the manifest, which has been committed there."""
     spark = pages.sparkSession
-    rows = with_rid(pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(payload_col), F.lit("")).alias("_payload")))
-    shard = F.coalesce(F.floor(F.col("_id") / ids_per_shard), -1 - F.shiftright("_rid", 33)).cast("long")
-    marks = checkpointed(rows.select("_rid", "_id", shard.alias("_shard"), F.sha1(F.col("_payload").cast("binary")).alias("_sha"), F.octet_length("_payload").alias("_n")))
-    groups = marks.where(F.col("_n") >= least).groupBy("_sha", "_n").agg(F.count(F.lit(1)).alias("_size"), F.max(F.struct("_id", "_rid")).alias("_top")).where("_size > 1")
-    verdicts = marks.join(groups, ["_sha", "_n"]).where(F.col("_rid") != F.col("_top._rid")).select("_shard", "_id", "_rid", F.lit(0).alias("_kind"), F.col("_top._id").alias("_refers"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("_payload"))
-    bodies = rows.select(shard.alias("_shard"), "_id", "_rid", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_refers"), "_url", "_payload")
+    rows = with_rid(settled(pages).select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(payload_col), F.lit("")).alias("_payload")))
+    sha, place = F.sha1(F.col("_payload").cast("binary")), F.xxhash64("_url")
+    shard = F.coalesce(F.floor(F.col("_id") / ids_per_shard), -1 - F.pmod(F.xxhash64("_payload"), F.lit(WITHOUT_ID))).cast("long")
+    marks = checkpointed(rows.select("_rid", "_id", shard.alias("_shard"), sha.alias("_sha"), place.alias("_place"), F.octet_length("_payload").alias("_n")))
+    groups = marks.where(F.col("_n") >= least).groupBy("_sha", "_n").agg(F.count(F.lit(1)).alias("_size"), F.max(F.struct("_id", "_place", "_rid")).alias("_top")).where("_size > 1")
+    verdicts = marks.join(groups, ["_sha", "_n"]).where(F.col("_rid") != F.col("_top._rid")).select("_shard", "_id", "_sha", "_place", "_rid", F.lit(0).alias("_kind"), F.col("_top._id").alias("_refers"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("_payload"))
+    bodies = rows.select(shard.alias("_shard"), "_id", sha.alias("_sha"), place.alias("_place"), "_rid", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_refers"), "_url", "_payload")
     # A row's verdict, if it is a revisit, comes right before it: payloads are shuffled once, and not joined.
-    sorted_rows = bodies.unionByName(verdicts).repartition("_shard").sortWithinPartitions("_shard", "_id", "_rid", "_kind")
+    sorted_rows = bodies.unionByName(verdicts).repartition("_shard").sortWithinPartitions("_shard", "_id", "_sha", "_place", "_rid", "_kind").drop("_sha", "_place")
     spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
