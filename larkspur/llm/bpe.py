@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import record_batch
 
 #: Words of more bytes leave the recursion; words of one recursion; words remembered; characters of texts taken together.
-LONG, TOGETHER, REMEMBERED, CHARACTERS = 256, 60_000, 400_000, 4 << 20
+LONG, TOGETHER, REMEMBERED, CHARACTERS = 256, 60_000, 500_000, 4 << 20
 #: Bytes of a rank file that are broadcast at most.
 MOST_BYTES = 64 << 20
 
@@ -65,6 +65,9 @@ class Codec:
         self.ranks, self.words = read_ranks(raw), regex.compile(pattern)
         ranks, self.known, self.shown = self.ranks, {}, {}
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        # A word of the vocabulary may be made of any two words of it.
+        self.pairs = np.array([(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks], np.int32).reshape(-1, 3)
+        self.vocabulary = pa.table({"token": np.array(list(ranks.values()), np.int32), "shown": [w.decode("latin-1") for w in ranks]})
         self.base = None
         size = max(ranks.values(), default=0) + 1
         self.starts, self.valid = np.zeros(size, bool), np.zeros(size, bool)
@@ -72,10 +75,11 @@ class Codec:
             self.valid[r], self.starts[r] = True, w[:1] in (b" ", b"\n")
 
     def _open(self) -> None:
-        ranks, self.base = self.ranks, duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        pairs = np.array([(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks], np.int32).reshape(-1, 3)
-        self._table("merges", l=pairs[:, 0], r=pairs[:, 1], made=pairs[:, 2])
-        self._table("vocabulary", token=np.array(list(ranks.values()), np.int32), shown=[w.decode("latin-1") for w in ranks])
+        self.base = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        for name, table in (("merges", pa.table(dict(zip(("l", "r", "made"), self.pairs.T, strict=True)))), ("vocabulary", self.vocabulary)):
+            self.base.register("_in", table)
+            self.base.execute(f"CREATE TABLE {name} AS SELECT * FROM _in")
+            self.base.unregister("_in")
 
     def rest(self) -> None:
         """Gives the database's memory back: a worker waits for later tasks with the remembered words only."""
@@ -84,11 +88,6 @@ class Codec:
             self.base = None
         pa.default_memory_pool().release_unused()
 
-    def _table(self, name: str, **columns) -> None:
-        self.base.register("_in", pa.table(columns))
-        self.base.execute(f"CREATE TABLE {name} AS SELECT * FROM _in")
-        self.base.unregister("_in")
-
     def _given(self, query: str, **columns) -> pa.Table:
         if not self.base:
             self._open()
