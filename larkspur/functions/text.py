@@ -35,12 +35,15 @@ def name_key(c: Column) -> Column:
 
 
 def like_literal(pattern: str) -> str:
-    """A pattern in which % and _ stay wildcards and a backslash before anything else is itself."""
-    return re.sub(r"\\(?![%_\\])", r"\\\\", re.sub(r"\\\\", lambda m: "\0", pattern)).replace("\0", "\\\\")
+    """A pattern in which % and _ stay wildcards and a backslash before anything but them or a backslash is itself."""
+    pairs = pattern.replace("\\\\", "\0")
+    return re.sub(r"\\(?![%_])", lambda m: "\\\\", pairs).replace("\0", "\\\\")
 
 
 def like_pattern(c: Column) -> Column:
-    return F.regexp_replace(c, r"\\(?![%_\\])(?<!\\\\)", r"\\\\\\\\")
+    """As like_literal, of a column."""
+    pairs = F.replace(c, F.lit("\\\\"), F.lit("\0"))
+    return F.replace(F.regexp_replace(pairs, r"\\(?![%_])", r"\\\\"), F.lit("\0"), F.lit("\\\\"))
 
 
 def has(c: Column, part: str | Column) -> Column:
