@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import scores
-from larkspur.functions.text import has
+from larkspur.functions.text import has, like_pattern
 from larkspur.functions.trigram import grams, ratio, strict_over, word_grams
 from larkspur.functions.vectors import dot, unit
 from larkspur.operators.batch import Batch, any_of
@@ -17,27 +17,45 @@ RUNG_1, RUNG_2, RUNG_3, LEAST_FUZZY = 0.3, 0.1, 0.35, 0.01
 FIELDS = ("product_name", "brand", "category", "tags")
 
 
-def exact_condition(batch: Batch) -> Column:
-    q = F.lit(batch.text.lower()) if batch.text is not None else F.lower("q")
-    part = batch.text.lower() if batch.text is not None else F.lower("q")
-    return (F.lower("product_name") == q) | (F.lower("brand") == q) | (F.lower("category") == q) | has(F.col("tags"), part)
+def asked_parts(texts: DataFrame, c: str) -> DataFrame:
+    """texts with what a search for column c as a part needs: _part (lower-cased), _wild and _pattern."""
+    pattern = F.concat(F.lit("%"), like_pattern(F.col(c)), F.lit("%"))
+    return texts.withColumns({"_part": F.lower(c), "_wild": F.col(c).rlike(r"[%_\\]"), "_pattern": pattern})
 
 
-def exact_candidates(products: DataFrame, batch: Batch, limit: int = CANDIDATES) -> DataFrame:
-    """query_id, id."""
-    return batch.top(batch.matching(products, exact_condition(batch)), limit, F.col("id").asc()).select("query_id", "id")
+def folded_fields(products: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    return products.select("id", *(F.lower(f).alias(f) for f in fields))
 
 
-def partial_condition(batch: Batch) -> Column:
-    """A token of two characters or more in a field. A prefix is found as a part."""
-    fields = (*FIELDS, "description")
+def part_of(fields: tuple[str, ...]) -> Column:
+    """Over columns of folded_fields and asked_parts."""
+    return any_of([F.when(F.col("_wild"), F.ilike(F.col(f), F.col("_pattern"))).otherwise(F.col(f).contains(F.col("_part"))) for f in fields])
+
+
+def exact_candidates(products: DataFrame, batch: Batch, limit: int = CANDIDATES) -> DataFrame:
+    """query_id, id: the query is the name, brand or category, or a part of the tags."""
     if batch.text is not None:
-        return any_of([has(F.col(f), t) for t in dict.fromkeys(batch.text.lower().split()) if len(t) >= 2 for f in fields]) if len(batch.text.split()) <= 8 else F.exists("tokens", lambda t: (F.length(t) >= 2) & any_of([has(F.col(f), t) for f in fields]))
-    return F.exists("tokens", lambda t: (F.length(t) >= 2) & any_of([has(F.col(f), t) for f in fields]))
+        q = batch.text.lower()
+        found = batch.matching(products, any_of([F.lower(f) == q for f in FIELDS[:3]]) | has(F.col("tags"), q))
+    else:
+        asked = asked_parts(batch.frame.select("query_id", "q"), "q")
+        found = folded_fields(products, FIELDS).join(F.broadcast(asked), any_of([F.col(f) == F.col("_part") for f in FIELDS[:3]]) | part_of(("tags",)))
+    return batch.top(found, limit, F.col("id").asc()).select("query_id", "id")
 
 
 def partial_candidates(products: DataFrame, batch: Batch, limit: int = CANDIDATES) -> DataFrame:
-    return batch.top(batch.matching(products, partial_condition(batch)), limit, F.col("id").asc()).select("query_id", "id")
+    """query_id, id: a token of two characters or more is part of a field. (A prefix is a part.)"""
+    fields = (*FIELDS, "description")
+    if batch.text is not None:
+        tokens = [t for t in dict.fromkeys(batch.text.lower().split()) if len(t) >= 2]
+        few = any_of([has(F.col(f), t) for t in tokens for f in fields]) if len(tokens) <= 8 else F.exists("tokens", lambda t: (F.length(t) >= 2) & any_of([has(F.col(f), t) for f in fields]))
+        return batch.top(batch.matching(products, few), limit, F.col("id").asc()).select("query_id", "id")
+    # Each distinct token is looked for once. The first rows of a query are among the first of its tokens.
+    asked = batch.frame.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).where(F.length("token") >= 2)
+    met = folded_fields(products, fields).join(F.broadcast(asked_parts(asked.select("token").distinct(), "token")), part_of(fields))
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("id"))
+    first = met.select("token", "id").withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_nth")
+    return batch.top(first.join(F.broadcast(asked), "token").select("query_id", "id").distinct(), limit, F.col("id").asc())
 
 
 def trigram_index(products: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -47,9 +65,12 @@ def trigram_index(products: DataFrame, fields: tuple[str, ...] = FIELDS) -> Data
 
 
 def value_similarities(index: DataFrame, texts: DataFrame) -> DataFrame:
-    """index: of trigram_index; texts: text. field, value, text, sim and strict of all that share a trigram; others have 0 of both."""
+    """index: of trigram_index; texts: text. field, value, text, sim and strict of all that share a trigram; others have 0 of both.
+
+    The texts are those of a batch, whose size is bounded, so their trigrams are broadcast and the index stays where it is.
+    """
     wanted = texts.select("text", F.explode(grams(F.col("text"))).alias("gram"))
-    shared = index.join(wanted, "gram").groupBy("field", "value", "text").agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    shared = index.join(F.broadcast(wanted), "gram").groupBy("field", "value", "text").agg(F.count(F.lit(1)).cast("int").alias("shared"))
     own, other = grams(F.col("value")), grams(F.col("text"))
     return shared.select("field", "value", "text", ratio(F.col("shared"), F.size(own), F.size(other)).alias("sim"), strict_over(other, word_grams(F.col("value"))).alias("strict"))
 
@@ -57,7 +78,7 @@ def value_similarities(index: DataFrame, texts: DataFrame) -> DataFrame:
 def query_values(index: DataFrame, batch: Batch) -> DataFrame:
     """query_id, field, value, its best score by token (best, strict: maps), of the whole query (full), and the rungs it reaches."""
     asked = batch.frame.select("query_id", F.posexplode("tokens").alias("at", "text")).unionByName(batch.frame.select("query_id", F.lit(-1).alias("at"), F.col("q").alias("text")))
-    met = asked.join(value_similarities(index, asked.select("text").distinct()), "text").withColumn("best", F.greatest("sim", "strict"))
+    met = value_similarities(index, asked.select("text").distinct()).join(F.broadcast(asked), "text").withColumn("best", F.greatest("sim", "strict"))
     long = (F.col("at") >= 0) & (F.length("text") >= 3)
     token = F.col("at") >= 0
     entry = lambda c: F.map_from_entries(F.collect_list(F.when(token, F.struct("at", c))))
@@ -72,26 +93,22 @@ def query_values(index: DataFrame, batch: Batch) -> DataFrame:
 
 
 def fuzzy_scored(products: DataFrame, batch: Batch, index: DataFrame | None = None) -> DataFrame:
-    """query_id, id, rung and fuzzy_score of the candidates of every rung; those of lower rungs are limited before scoring."""
+    """query_id, id, rung and fuzzy_score of the candidates of every rung; those of lower rungs are limited before scoring.
+
+    Products meet the similar values of all fields in one join, and come together again by one aggregation.
+    """
     values = query_values(trigram_index(products) if index is None else index, batch)
-    base = products.select("id", *(F.coalesce(F.col(f), F.lit("")).alias(f) for f in FIELDS))
     rungs = ("rung_1", "rung_2", "rung_3")
-    hits = None
-    for f in FIELDS[:3]:
-        some = values.where((F.col("field") == f) & (F.col("rung_1") | F.col("rung_2") | F.col("rung_3"))).select("query_id", F.col("value").alias(f), *rungs)
-        some = base.select("id", f).join(some, f).select("query_id", "id", *rungs)
-        hits = some if hits is None else hits.unionByName(some)
-    hits = hits.groupBy("query_id", "id").agg(*(F.max(r).alias(r) for r in rungs))
-    each = hits.select("query_id", "id", F.explode(F.array(*(F.struct(F.lit(i + 1).alias("rung"), F.col(r).alias("reached")) for i, r in enumerate(rungs)))).alias("x")).where("x.reached").select("query_id", "id", "x.rung")
-    nth = F.row_number().over(Window.partitionBy("query_id", "rung").orderBy("id"))
-    limited = each.where("rung = 1").unionByName(each.where("rung > 1").withColumn("_nth", nth).where(F.col("_nth") <= FALLBACK).drop("_nth"))
-    rows = limited.join(base, "id").join(batch.frame.select("query_id", F.size("tokens").alias("n")), "query_id")
-    for f in FIELDS:
-        some = values.where(F.col("field") == f).select("query_id", F.col("value").alias(f), F.col("strict" if f == "tags" else "best").alias(f"_{f}"), *([F.col("full")] if f == "product_name" else []))
-        rows = rows.join(some, ["query_id", f], "left")
+    pairs = products.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("value")) for f in FIELDS))).alias("v")).select("id", "v.*")
+    of = lambda f, c: F.first(F.when(F.col("field") == f, F.col(c)), ignorenulls=True)
+    met = pairs.join(values, ["field", "value"]).groupBy("query_id", "id").agg(*(F.max(r).alias(r) for r in rungs), *(of(f, "strict" if f == "tags" else "best").alias(f"_{f}") for f in FIELDS), of("product_name", "full").alias("full"))
+    met = met.where(F.col("rung_1") | F.col("rung_2") | F.col("rung_3")).join(F.broadcast(batch.frame.select("query_id", F.size("tokens").alias("n"))), "query_id")
     at = lambda f, i: F.coalesce(F.try_element_at(F.col(f"_{f}"), i), F.lit(0.0))
     token_scores = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: at("product_name", i) * 0.50 + at("brand", i) * 0.20 + at("category", i) * 0.15 + at("tags", i) * 0.15)
-    return rows.select("query_id", "id", "rung", scores.fuzzy_score(token_scores, F.coalesce("full", F.lit(0.0))).alias("fuzzy_score"))
+    reached = F.filter(F.array(*(F.when(F.col(r), F.lit(i + 1)) for i, r in enumerate(rungs))), lambda r: r.isNotNull())
+    each = met.select("query_id", "id", scores.fuzzy_score(token_scores, F.coalesce("full", F.lit(0.0))).alias("fuzzy_score"), F.explode(reached).alias("rung"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "rung").orderBy("id"))
+    return each.where("rung = 1").unionByName(each.where("rung > 1").withColumn("_nth", nth).where(F.col("_nth") <= FALLBACK).drop("_nth")).select("query_id", "id", "rung", "fuzzy_score")
 
 
 def fuzzy_candidates(products: DataFrame, batch: Batch, limit: int = CANDIDATES, min_similarity: float = LEAST_FUZZY, index: DataFrame | None = None) -> DataFrame:

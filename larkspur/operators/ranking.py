@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import scores
+from larkspur.functions.vectors import dot, unit
 from larkspur.operators.batch import Batch
-from larkspur.operators.candidates import CANDIDATES, exact_candidates, fuzzy_candidates, partial_candidates, semantic_candidates, similarities
+from larkspur.operators.candidates import CANDIDATES, exact_candidates, fuzzy_candidates, partial_candidates, semantic_candidates
 
 SCORES = ("exact_score", "partial_score", "fuzzy_score", "semantic_score", "final_score")
 
@@ -25,9 +26,11 @@ def candidate_union(products: DataFrame, embeddings: DataFrame | None, batch: Ba
 
 def ranked(products: DataFrame, embeddings: DataFrame | None, batch: Batch, limit: int = 20, candidate_limit: int = CANDIDATES, min_final_score: float = 0.10, index: DataFrame | None = None) -> DataFrame:
     """query_id, the product's columns and SCORES. A product without a vector has the semantic score 0."""
-    found = candidate_union(products, embeddings, batch, candidate_limit, index).join(products, "id").join(batch.frame.select("query_id", "q"), "query_id")
+    # A source gives at most candidate_limit rows a query and a batch has a bounded number of queries: candidates are small enough to broadcast.
+    found = candidate_union(products, embeddings, batch, candidate_limit, index)
+    found = products.join(F.broadcast(found), "id").join(F.broadcast(batch.frame.select("query_id", "q", "vector")), "query_id")
     if embeddings is not None:
-        found = found.join(similarities(embeddings, batch), ["query_id", "id"], "left")
+        found = found.join(embeddings.select("id", "embedding"), "id", "left").withColumn("semantic_score", F.when(F.size("embedding") == F.size("vector"), dot(F.col("embedding"), unit(F.col("vector")))))
     else:
         found = found.withColumn("semantic_score", F.lit(0.0))
     fields = [F.col(c) for c in ("q", "product_name", "brand", "category", "tags")]
