@@ -16,8 +16,10 @@ The rank file is a parameter, read by the driver and broadcast (its size is chec
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
+import threading
 from collections.abc import Callable, Iterator
 
 import duckdb
@@ -34,6 +36,8 @@ from larkspur.llm.common import record_batch
 LONG, TOGETHER, REMEMBERED, CHARACTERS = 256, 60_000, 500_000, 4 << 20
 #: Bytes of a rank file that are broadcast at most.
 MOST_BYTES = 64 << 20
+#: Seconds after which a worker without tasks gives the remembered words back.
+IDLE_S = 8.0
 
 #: A row is a token; its key is the word's number and the token's place in it (8 bits). best: rank, place and next place.
 CONTRACT = """
@@ -68,7 +72,7 @@ class Codec:
         # A word of the vocabulary may be made of any two words of it.
         self.pairs = np.array([(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks], np.int32).reshape(-1, 3)
         self.vocabulary = pa.table({"token": np.array(list(ranks.values()), np.int32), "shown": [w.decode("latin-1") for w in ranks]})
-        self.base = None
+        self.base, self.busy, self.lock, self.clock = None, False, threading.Lock(), None
         size = max(ranks.values(), default=0) + 1
         self.starts, self.valid = np.zeros(size, bool), np.zeros(size, bool)
         for w, r in ranks.items():
@@ -81,12 +85,30 @@ class Codec:
             self.base.execute(f"CREATE TABLE {name} AS SELECT * FROM _in")
             self.base.unregister("_in")
 
-    def rest(self) -> None:
-        """Gives the database's memory back: a worker waits for later tasks with the remembered words only."""
+    def __enter__(self) -> Codec:
+        with self.lock:
+            self.busy = True
+            if self.clock:
+                self.clock.cancel()
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Gives the database's memory back, and that of the words if no task follows: other stages' tasks need it."""
         if self.base:
             self.base.close()
             self.base = None
         pa.default_memory_pool().release_unused()
+        with self.lock:
+            self.busy = False
+            self.clock = threading.Timer(IDLE_S, self.forget)
+            self.clock.daemon = True
+            self.clock.start()
+
+    def forget(self) -> None:
+        with self.lock:
+            if not self.busy:
+                self.known, self.shown = {}, {}
+                gc.collect()
 
     def _given(self, query: str, **columns) -> pa.Table:
         if not self.base:
@@ -218,12 +240,9 @@ def mapped(docs: DataFrame, path: str, pattern: str, column: int, schema: str, f
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value, pattern)
-        try:
+        with codec(shared.value, pattern) as own:
             for b in chunked(batches, column):
                 yield f(own, b)
-        finally:
-            own.rest()
 
     return docs.mapInArrow(over, schema)
 
