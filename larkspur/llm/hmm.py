@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, record_batch
+from larkspur.llm.common import checkpointed, record_batch, tidy
 
 STATES, CLASSES, PASSES = 6, 8192, 4
 #: Distinct words and text bytes after which a block is closed.
@@ -279,6 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     kind = dict(rows.dtypes)["_id"]
     parts = blocks(rows)
     back, of_buckets = word_counts(parts)
+    tidy(spark)
     texts = parts.select(F.explode("_helds").alias("h")).agg(F.count_if(~F.col("h"))).first()[0] or 0
     words, tokens = (np.resize(x, CLASSES) if len(x) == CLASSES else np.zeros(CLASSES, np.int64) for x in summed(of_buckets, ("_class_words", "_class_tokens"), np.int64))
     n_train, distinct = int(tokens.sum()) + texts, int(words.sum()) + (texts > 0)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, record_batch, rows_by_rid, settled, with_rid
+from larkspur.llm.common import checkpointed, record_batch, rows_by_rid, settled, tidy, with_rid
 
 WIDTH, PERCENT = 5, 75
 #: Entries and documents after which a block is closed; entries that a task adds up at a time, about.
@@ -300,6 +300,7 @@ def node_components(nodes: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id (the least id that links reach) and set_id (a digest of the set) for each row."""
     rows = checkpointed(incidence(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width, percent))
+    tidy(docs.sparkSession)
     lists = rows.where("_list is not null").select("_fp", "_n", "_list").dropDuplicates(["_fp"])
     nodes = checkpointed(lists.withColumn("_node", F.monotonically_increasing_id()))
     comps = node_components(nodes, percent)
