@@ -263,7 +263,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def node_components(nodes: DataFrame, percent: int) -> DataFrame:
     """_node, _comp of the nodes that are linked with others."""
-    product = checkpointed(columns(nodes, percent))
+    product = columns(nodes, percent)  # made anew for each of its uses: it would take several times the room of the nodes
     central = F.struct((F.col("_own") / F.col("_n")).alias("share"), F.col("_node").alias("node"), F.col("_n").alias("n"))
     in_bounds = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     # The most central node of each column, and for each node that with which it shares most columns.
