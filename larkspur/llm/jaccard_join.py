@@ -36,6 +36,8 @@ WIDTH, PERCENT = 5, 75
 #: Entries and documents after which a block is closed; entries that a task adds up at a time, about.
 BLOCK, BLOCK_DOCS, PER_RANGE = 1 << 19, 60_000, 1 << 19
 REMEMBERED = 1 << 18
+#: Pairs of nodes that are broadcast at most (16 bytes each).
+BROADCAST_PAIRS = 200_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -239,8 +241,12 @@ def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield record_batch(_a=pa.array([a_[i] for i in keep], pa.int64()), _b=pa.array([b_[i] for i in keep], pa.int64()))
 
-    side = lambda s: nodes.select(F.col("_node").alias(f"_{s}"), F.col("_n").alias(f"_n{s}"), F.col("_list").alias(f"_list{s}"))
-    rows = pairs.join(side("b"), "_b").join(side("a"), "_a").select("_a", "_b", "_na", "_nb", "_lista", "_listb")
+    pairs = checkpointed(pairs.select("_a", "_b"))
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    # Lists meet the pairs where they lie if the pairs are few enough to broadcast; then only the lists of pairs are shuffled.
+    asked = F.broadcast(pairs) if few else pairs
+    side = lambda s: nodes.select(F.col("_node").alias(f"_{s}"), F.col("_n").alias(f"_n{s}"), F.col("_list").alias(f"_list{s}")).join(asked, f"_{s}")
+    rows = side("a").join(side("b"), ["_a", "_b"]).select("_a", "_b", "_na", "_nb", "_lista", "_listb")
     return rows.mapInArrow(count, "_a long, _b long")
 
 
