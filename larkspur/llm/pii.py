@@ -7,7 +7,9 @@ written. A surrogate is drawn from SHA-512 of key, kind, form and attempt: lette
 and case, digits digits, separators stay; octets stay valid and of their length, a valid card number stays valid (Luhn),
 e-mail domains are entities of their own, and names are composed of syllables of their script with an ending of
 their gender. Collision checks: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn
-again, so distinct entities stay distinct and no real value is put in another's place.
+again, so distinct entities stay distinct and no real value is put in another's place. An address draws its local part only, and is
+compared with the others of its domain; domains have distinct surrogates that are no real domains, so this holds for the
+addresses as written. A local part grows by a letter with each third attempt, as short ones run out.
 
 Defined results: a null text stays null and an empty text empty, with no entities; repeated rows are treated alike; null ids are
 kept; an empty table gives an empty result; columns other than id and text are not read by pseudonymise.
@@ -131,6 +133,8 @@ def surrogate(kind: Column, form: Column, digest: Column, attempt: Column) -> Co
     code = F.greatest(n - 10, F.lit(0))  # a phone number keeps its country code
     phone = F.concat(form.substr(F.lit(1), code), like_letters(form.substr(code + 1, n), digest))
     out = F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "account", account).when(kind == "phone", phone)
+    grown = F.concat(F.substring_index(form, "@", 1), F.repeat(F.lit("a"), F.floor(attempt / 3).cast("int")))
+    out = out.when(kind == "email", F.concat_ws("@", like_letters(grown, digest), F.substring_index(form, "@", -1)))  # the domain is only compared by
     out = out.when(kind == "secret", F.when(form.rlike("^[0-9a-f]+$") | form.rlike("^[0-9A-F]+$"), like_letters(form, digest, True)).otherwise(plain))
     for script, syllables in SYLLABLES.items():
         for gender in "fms":
@@ -158,10 +162,11 @@ def entities(pieces: DataFrame, key: str) -> DataFrame:
 
 
 def shown(kind: Column, surface: Column, form: Column) -> Column:
-    """A surrogate written as the surface is: its separators, and its case."""
+    """A surrogate written as the surface is: its separators, and its case. Of an address, the local part."""
     nth = lambda i: F.length(F.regexp_replace(surface.substr(F.lit(1), i), "[^0-9A-Za-z]", ""))
     bare = F.transform(F.sequence(F.lit(1), F.length(surface)), lambda i: F.when(F.substring(surface, i, F.lit(1)).rlike("[0-9A-Za-z]"), F.substring(form, nth(i), F.lit(1))).otherwise(F.substring(surface, i, F.lit(1))))
-    same = F.transform(F.sequence(F.lit(1), F.length(surface)), lambda i: F.when(F.substring(surface, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substring(form, i, F.lit(1)))).otherwise(F.substring(form, i, F.lit(1))))
+    part = lambda x: F.when(kind == "email", F.substring_index(x, "@", 1)).otherwise(x)
+    same = F.transform(F.sequence(F.lit(1), F.length(part(form))), lambda i: F.when(F.substring(part(surface), i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substring(form, i, F.lit(1)))).otherwise(F.substring(form, i, F.lit(1))))
     upper = F.upper(F.array_join(bare, ""))
     name = F.when((surface == F.upper(surface)) & (F.length(surface) > 1), F.upper(form)).otherwise(F.initcap(form))
     return F.when(kind.isin("card", "phone", "ssn"), F.array_join(bare, "")).when(kind == "account", upper).when(kind.startswith("name"), name).when(kind.isin("email", "domain"), F.array_join(same, "")).otherwise(form)
@@ -194,8 +199,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     known = entities(parts, key)
     told = parts.join(known, ["_kind", "_form"]).select("_rid", "_at", "_type", "_sub", shown(F.col("_kind"), F.col("_surface"), F.col("_surrogate")).alias("_new"))
     whole = told.groupBy("_rid", "_at").agg(F.first("_type").alias("_type"), F.transform(F.array_sort(F.collect_list(F.struct("_sub", "_new"))), lambda x: x["_new"]).alias("_news"))
-    # The local part of an address is drawn with it, its domain by itself.
-    new = F.when(F.col("_type") == "email", F.concat_ws("@", F.substring_index(F.col("_news")[0], "@", 1), F.col("_news")[1])).otherwise(F.array_join("_news", " "))
+    new = F.when(F.col("_type") == "email", F.array_join("_news", "@")).otherwise(F.array_join("_news", " "))
     by_row = whole.select("_rid", F.struct("_at", new.alias("_new"), "_type").alias("_x")).groupBy("_rid").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
     text = F.array_join(F.zip_with("_between", "_xs", lambda a, x: F.concat(a, F.coalesce(x["_new"], F.lit("")))), "")
     count = lambda k: F.size(F.filter("_xs", lambda x: x["_type"] == k)).cast("long").alias(f"n_{k}")

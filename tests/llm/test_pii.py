@@ -66,6 +66,15 @@ def test_many_collide(spark):
     assert len(set(new)) == len(ips) and not set(new) & set(ips)
 
 
+def test_short_local_parts_of_one_domain(spark):
+    """All addresses of a form that has no more: as written they still differ, and none is a real one."""
+    real = [f"{a}.{n:02}@mail7.example.com" for a in "abcdefghijklmnopqrstuvwxyz" for n in range(100)] + [f"e{a}.{n:02}@mail7.example.com" for a in "abcd" for n in range(100)]
+    got = run(spark, [" ".join(real[i : i + 100]) for i in range(0, len(real), 100)] + [real[5].upper()])
+    new = [x for i in range(len(real) // 100) for x in got[i].text.split()]
+    assert len(new) == len(real) == len(set(new)) and not set(new) & set(real) and len({x.split("@")[1] for x in new}) == 1
+    assert got[len(real) // 100].text.lower() == new[5]
+
+
 def test_key_luhn_native(spark):
     assert run(spark, TEXTS[:2])[0].text == run(spark, TEXTS[:2])[0].text != run(spark, TEXTS[:2], "other")[0].text
     card = re.findall(r"\d{16}", run(spark)[2].text)[0]
