@@ -12,6 +12,9 @@ The incidence matrix of documents by shingles is blocked: by documents (up to BL
    links make components, then the most central node of each component in a column is counted against the column's. What
    remains are pairs of different components within the bounds, and all of these are counted: no link between components
    is missed, whichever pairs within a component were left uncounted.
+4. Links lie within components, so jaccard_join and jaccard_pairs count every pair of nodes of a component. A component of over
+   CELL bytes of lists is dealt to parts by node, and each pair of parts is a cell of its own; overlaps of a cell add up in
+   blocked products. jaccard_components and one_of_each need components only and skip this.
 
 Shingle identity is 48 of 64 hash bits within a pair; sizes are counted on 64 bits. Defined results: texts
 are lower-cased (A-Z); null, empty and blank texts have no shingle and stay alone; a text of fewer than `width` words is one
@@ -38,6 +41,8 @@ BLOCK, BLOCK_DOCS, PER_RANGE = 1 << 19, 60_000, 1 << 19
 REMEMBERED = 1 << 18
 #: Pairs of nodes that are broadcast at most (16 bytes each).
 BROADCAST_PAIRS = 200_000
+#: Bytes of lists of a part of a component, about; sets and shingles of a block of the product within a cell.
+CELL, TILE, SHINGLES = 2 << 20, 512, 4096
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -303,22 +308,128 @@ def node_components(nodes: DataFrame, percent: int) -> DataFrame:
     return components(edges)
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The overlap of each list of a with each of b, added up over blocks of shingles."""
+    flat = [np.concatenate(x) for x in (a, b)]
+    own = [np.repeat(np.arange(len(x)), [len(h) for h in x]) for x in (a, b)]
+    both = np.intersect1d(*flat)  # no other shingle adds to an overlap
+    at = [np.searchsorted(both, h) for h in flat]
+    keep = [(i < len(both)) & (both[np.minimum(i, len(both) - 1)] == h) if len(both) else np.zeros(len(h), bool) for i, h in zip(at, flat, strict=True)]
+    own, at = [o[k] for o, k in zip(own, keep, strict=True)], [i[k] for i, k in zip(at, keep, strict=True)]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for start in range(0, len(both), SHINGLES):
+        blocks = []
+        for x, o, i in zip((a, b), own, at, strict=True):
+            now = (i >= start) & (i < start + SHINGLES)
+            block = np.zeros((len(x), min(SHINGLES, len(both) - start)), np.float32)
+            block[o[now], i[now] - start] = 1
+            blocks.append(block)
+        out += (blocks[0] @ blocks[1].T).astype(np.int64)
+    return out
+
+
+def links_within(nodes: DataFrame, weights: DataFrame, comps: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """nodes: _node, _n, _list; weights: _node, _k (rows of the set). All links within components: _a, _b of each, or _node and _links, the rows of the sets that a node links with."""
+    members = comps.unionByName(comps.select(F.col("_comp").alias("_node"), "_comp").distinct())
+    placed = checkpointed(nodes.select("_node", F.octet_length("_list").alias("_bytes")).join(members, "_node").join(weights, "_node"))
+    large = placed.groupBy("_comp").agg(F.ceil(F.sum("_bytes") / CELL).cast("int").alias("_parts")).where("_parts > 1")
+    placed = checkpointed(placed.join(F.broadcast(large), "_comp", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))))
+    total = placed.agg(F.sum(F.col("_bytes") * F.col("_parts"))).first()[0] or 0
+    n_buckets = max(1, -(-total // (4 * CELL)))
+    part = F.pmod(F.xxhash64("_node"), "_parts").cast("int")
+    dealt = nodes.join(placed.drop("_bytes"), "_node").withColumn("_part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    cells = dealt.select("_comp", F.least("_part", "_other").alias("_lo"), F.greatest("_part", "_other").alias("_hi"), "_part", "_node", "_n", "_k", "_list")
+    cells = cells.withColumn("_bucket", F.pmod(F.xxhash64("_comp", "_lo", "_hi"), F.lit(n_buckets)))
+    tile = TILE
+
+    def count(t: pa.Table) -> pa.Table:
+        comp, lo, hi, part, node, n, k = (t[c].to_numpy() for c in ("_comp", "_lo", "_hi", "_part", "_node", "_n", "_k"))
+        lists, order = t["_list"], np.lexsort((part, hi, lo, comp))
+        keys = np.stack([comp[order], lo[order], hi[order]])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(order)]
+        links, found = np.zeros(len(node), np.int64), [[], []]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            cell = order[start:end]
+            alone = lo[cell[0]] == hi[cell[0]]
+            mine, others = (cell, cell) if alone else (cell[part[cell] == lo[cell[0]]], cell[part[cell] == hi[cell[0]]])
+            tiles = lambda x: [x[i : i + tile] for i in range(0, len(x), tile)]
+            read = lambda x: [np.frombuffer(lists[int(i)].as_py(), np.uint64) for i in x]
+            for i, a in enumerate(tiles(mine)):
+                a_lists = read(a)
+                for j, b in enumerate(tiles(others)):
+                    if alone and j < i:
+                        continue
+                    o = overlaps(a_lists, read(b))
+                    yes = 100 * o >= percent * (n[a][:, None] + n[b][None, :] - o)
+                    if alone and i == j:
+                        yes = np.triu(yes, 1)
+                    if pairs:
+                        x, y = np.nonzero(yes)
+                        found[0].append(node[a[x]])
+                        found[1].append(node[b[y]])
+                    links[a] += yes @ k[b]
+                    links[b] += k[a] @ yes
+        if pairs:
+            x, y = (np.concatenate([np.zeros(0, np.int64), *f]) for f in found)
+            return pa.table({"_a": pa.array(np.minimum(x, y), pa.int64()), "_b": pa.array(np.maximum(x, y), pa.int64())})
+        return pa.table({"_node": pa.array(node, pa.int64()), "_links": pa.array(links, pa.int64())})
+
+    done = cells.groupBy("_bucket").applyInArrow(count, "_a long, _b long" if pairs else "_node long, _links long")
+    return done if pairs else done.groupBy("_node").agg(F.sum("_links").alias("_links"))
+
+
+class Join:
+    """The sets of docs, their nodes and components."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
+        self.id_col, self.percent, self.spark = id_col, percent, docs.sparkSession
+        self.rows = checkpointed(incidence(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width, percent))
+        tidy(self.spark)
+        lists = self.rows.where("_list is not null").select("_fp", "_n", "_list").dropDuplicates(["_fp"])
+        self.nodes = checkpointed(lists.withColumn("_node", F.monotonically_increasing_id()))
+        self.comps = node_components(self.nodes, percent)
+        self.sets = self.rows.where("_n > 0").groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_k"))
+
+    def found(self) -> DataFrame:
+        """_fp and _first of the sets that have copies or links: only these get an id from elsewhere."""
+        nodes, comps, sets = self.nodes, self.comps, self.sets
+        placed = sets.join(nodes.select("_fp", "_node").join(comps, "_node"), "_fp", "left").where("_k > 1 or _comp is not null")
+        least = placed.where("_comp is not null").groupBy("_comp").agg(F.min("_least").alias("_of_comp"))
+        roots = nodes.select(F.col("_node").alias("_comp"), F.col("_fp").alias("_root"))
+        least = least.join(roots, "_comp").join(sets.select(F.col("_fp").alias("_root"), F.col("_least").alias("_of_root")), "_root").select("_comp", "_root", F.least("_of_comp", "_of_root").alias("_first"))
+        return checkpointed(placed.join(least.drop("_root"), "_comp", "left").select("_fp", F.coalesce("_first", "_least").alias("_first")).unionByName(least.select(F.col("_root").alias("_fp"), "_first")).groupBy("_fp").agg(F.min("_first").alias("_first")))
+
+    def labelled(self, found: DataFrame, *more: Column) -> DataFrame:
+        out = self.rows.drop("_list").join(found, "_fp", "left")
+        return out.select(F.col("_id").alias(self.id_col), F.col("_n").alias("n_shingles"), F.coalesce("_first", "_id").alias("component_id"), F.hex("_fp").alias("set_id"), *more)
+
+    def links(self, pairs: bool) -> DataFrame:
+        self.comps = checkpointed(self.comps)
+        tidy(self.spark)
+        weights = self.nodes.select("_node", "_fp").join(self.sets.select("_fp", "_k"), "_fp").select("_node", "_k")
+        return checkpointed(links_within(self.nodes.select("_node", "_n", "_list"), weights, self.comps, self.percent, pairs))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id (the least id that links reach) and set_id (a digest of the set) for each row."""
-    rows = checkpointed(incidence(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width, percent))
-    tidy(docs.sparkSession)
-    lists = rows.where("_list is not null").select("_fp", "_n", "_list").dropDuplicates(["_fp"])
-    nodes = checkpointed(lists.withColumn("_node", F.monotonically_increasing_id()))
-    comps = node_components(nodes, percent)
-    # Only sets that have copies or links get an id from elsewhere.
-    sets = rows.where("_n > 0").groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_k"))
-    placed = sets.join(nodes.select("_fp", "_node").join(comps, "_node"), "_fp", "left").where("_k > 1 or _comp is not null")
-    least = placed.where("_comp is not null").groupBy("_comp").agg(F.min("_least").alias("_of_comp"))
-    roots = nodes.select(F.col("_node").alias("_comp"), F.col("_fp").alias("_root"))
-    least = least.join(roots, "_comp").join(sets.select(F.col("_fp").alias("_root"), F.col("_least").alias("_of_root")), "_root").select("_comp", "_root", F.least("_of_comp", "_of_root").alias("_first"))
-    found = checkpointed(placed.join(least.drop("_root"), "_comp", "left").select("_fp", F.coalesce("_first", "_least").alias("_first")).unionByName(least.select(F.col("_root").alias("_fp"), "_first")).groupBy("_fp").agg(F.min("_first").alias("_first")))
-    out = rows.drop("_list").join(found, "_fp", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_first", "_id").alias("component_id"), F.hex("_fp").alias("set_id"))
+    join = Join(docs, id_col, text_col, width, percent)
+    return join.labelled(join.found())
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The columns of jaccard_components and n_links: the other rows that the row links with, rows of equal sets included."""
+    join = Join(docs, id_col, text_col, width, percent)
+    links = join.links(False).join(join.nodes.select("_node", "_fp"), "_node").select("_fp", "_links")
+    counted = join.found().join(join.sets.select("_fp", "_k"), "_fp").join(links, "_fp", "left")
+    counted = checkpointed(counted.select("_fp", "_first", (F.col("_k") - 1 + F.coalesce("_links", F.lit(0))).alias("_links")))
+    return join.labelled(counted, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_pairs(docs: DataFrame, text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """set_a and set_b of each pair of different sets that link; set_id of jaccard_components or jaccard_join gives their rows."""
+    join = Join(docs, text_col, text_col, width, percent)
+    name = lambda s: join.nodes.select(F.col("_node").alias(f"_{s}"), F.hex("_fp").alias(f"set_{s}"))
+    return join.links(True).join(name("a"), "_a").join(name("b"), "_b").select("set_a", "set_b")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -10,9 +10,9 @@ from larkspur.llm.common import run_folder, table
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from larkspur.llm.jaccard_join import jaccard_components
+    from larkspur.llm.jaccard_join import jaccard_join
 
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,26 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert got == dict(enumerate(brute(texts)))
 
 
+def test_all_links(spark, monkeypatch):
+    """Every link is counted and given, within components and over the parts of a large one."""
+    monkeypatch.setattr(j, "CELL", 6000)
+    monkeypatch.setattr(j, "TILE", 7)
+    rng = random.Random(4)
+    base = rng.choices([f"v{i}" for i in range(3000)], k=90)
+    texts = corpus(3) + [" ".join(edited(rng, base, rng.choice((0.01, 0.03)))) for _ in range(60)]
+    sets = [shingles(t) for t in texts]
+    link = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = [sum(bool(a) and link(a, b) for k, b in enumerate(sets) if k != i) for i, a in enumerate(sets)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in j.jaccard_join(docs).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == want and max(want) > 20
+    of = {got[i].set_id: s for i, s in enumerate(sets)}
+    distinct = sorted(of)
+    pairs = {frozenset((a, b)) for k, a in enumerate(distinct) for b in distinct[:k] if of[a] and of[b] and link(of[a], of[b])}
+    found = [frozenset(r) for r in j.jaccard_pairs(docs).collect()]
+    assert len(found) == len(pairs) and set(found) == pairs
+
+
 def test_hot_group_without_all_pairs(spark):
     """A third of the rows are near copies: the pairs that are counted stay near the number of rows."""
     rng = random.Random(3)
