@@ -2,7 +2,7 @@
 
 Everything is DataFrame and SQL expressions. Rules (host and path, as `org/` or `example.org/es/`) label urls; a bounded
 sample of the labelled (SAMPLE, those of least hash) trains TREES trees of DEPTH levels on length, depth, digit ratio,
-entropy, parameter count, labels of the host and the block rate of the host's suffix. Features are cut at sample quantiles
+entropy, parameter count, labels of the host and the block rate of the host's suffix, counted over all labelled urls. Features are cut at sample quantiles
 and equal rows merged with their counts; a level of a tree is one aggregation to (node, feature, cut), so only
 sums of that bounded size reach the driver. The finished trees are CASE expressions in the scoring projection.
 
@@ -135,9 +135,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     host, path = parts(url)
     rows = rows.withColumn("host", host).withColumn("path", path).withColumn("_fit", fitting(rules, F.col("host"), F.col("path")))
     rows = rows.withColumns(features(url, F.col("host"), F.col("path"))).withColumn("_suffix", F.regexp_extract("host", r"[^.]*$", 0)).withColumn("_hash", F.xxhash64(url)).drop("_url")
-    labelled = rows.where("_fit is not null").orderBy("_hash", "host", "path").limit(sample)
-    known = checkpointed(labelled.select("_suffix", *FEATURES[:-1], (F.col("_fit.verdict") == "block").cast("int").alias("label")))
-    stats = checkpointed(known.groupBy("_suffix").agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate")))
+    labelled = rows.where("_fit is not null").withColumn("label", (F.col("_fit.verdict") == "block").cast("int"))
+    known = checkpointed(labelled.orderBy("_hash", "host", "path").limit(sample).select("_suffix", *FEATURES[:-1], "label"))
+    stats = checkpointed(labelled.groupBy("_suffix").agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate")))
     stats = F.broadcast(stats) if stats.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES else stats
     model = boost(known.join(stats, "_suffix"))
     all_rows = rows.join(stats, "_suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.5)))

@@ -62,6 +62,15 @@ def test_trees_learn(spark):
     assert got[500] == "allow" and got[501] == "block"
 
 
+def test_suffix_counts_beyond_the_sample(spark):
+    """A suffix whose labelled urls all miss the sample is scored by its own block rate."""
+    hashed = lambda suffix: [r.url for r in spark.range(2000).select(F.format_string(f"http://h%05d.{suffix}/a", "id").alias("url")).orderBy(F.xxhash64("url")).collect()]
+    urls = hashed("com")[:40] + hashed("org")[:40] + hashed("net")[-60:]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = judge(pages, [("com/", "allow"), ("org/", "block"), ("net/", "allow")], sample=80).collect()
+    assert len(got) == 140 and all((r.block_score > 0.5) == r.host.endswith("org") for r in got)
+
+
 def test_native(spark, sf):
     plan = judge(spark.read.parquet(f"{sf}/pages.parquet"), URL_RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
