@@ -50,7 +50,19 @@ def tidy(spark: SparkSession) -> None:
 
 
 def run_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder; what is written there goes when the session's JVM ends, if not before."""
+    own = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{own}/data"
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """The folder goes, with all in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Plans of only these give their rows in the same partitions and order each time they run.
