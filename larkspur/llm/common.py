@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,23 @@ def with_rid(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: Keys that are broadcast at most by joined_hot.
+HOT = 4096
+
+
+def joined_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """big joined with small on keys (null equals null).
+
+    small has a row for each key, with n, its rows of big; total: rows of big. Keys with over 1 / HOT of the rows, so fewer than HOT, are
+    broadcast: the rows of a hot key stay where they lie. The others are shuffled.
+    """
+    own = small.withColumnsRenamed({k: f"_of{k}" for k in keys})
+    alike = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys))
+    hot = F.broadcast(own.where(F.col(n) * HOT > total))
+    often, rest = big.join(hot, alike), big.join(hot, alike, "left_anti").join(own, alike)
+    return often.unionByName(rest).drop(*(f"_of{k}" for k in keys))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

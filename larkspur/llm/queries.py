@@ -48,7 +48,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.pii import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents"), key="larkspur")
+    return pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.larkspur.pii.key", "a key for tests"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

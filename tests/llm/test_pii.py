@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import hashlib
+import hmac as plain
 import re
 
-from larkspur.llm.pii import luhn, pseudonymise
+from larkspur.llm.pii import hmac, luhn, mod97, pseudonymise
 from pyspark.sql import functions as F
 
 TEXTS = [
@@ -48,6 +50,30 @@ def test_coreference_and_distinctness(spark):
     assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1])
     domains = [x.split("@")[1].lower() for i in (0, 6) for x in re.findall(r"\S+@[\w.]+\w", got[i].text)]
     assert domains[0] == domains[1] == domains[3] != domains[2]
+    assert domains[0].endswith(".com") and domains[2].endswith(".org")
+
+
+def test_accounts_stay_valid(spark):
+    """By the plain rule; a number that was not valid need not become so."""
+    real = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"]
+    got = run(spark, [f"to {x}." for x in real])
+    for i, x in enumerate(real):
+        new = got[i].text[3:-1]
+        bare = new.replace(" ", "")
+        assert new != x and len(new) == len(x) and new[:2] == x[:2] and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert spark.range(1).select(mod97(F.lit("de89370400440532013000")).alias("m")).first()["m"] == 1
+
+
+def test_hmac(spark):
+    for key in ("k", "long" * 50):
+        assert spark.range(1).select(hmac(key, F.lit("päss")).alias("h")).first()["h"] == plain.new(key.encode(), "päss".encode(), hashlib.sha512).hexdigest()
+
+
+def test_cutting_marks_in_texts(spark):
+    """Texts that hold the characters at which texts are cut come back as they were, but for their entities."""
+    got = run(spark, ["a\u0001\u0003b 1 \u0001\u0002", "\u0001bob@mail7.example.com\u0003\u0001"])
+    assert got[0].text == "a\u0001\u0003b 1 \u0001\u0002" and got[1].n_entities == 1
+    assert re.fullmatch("\u0001[a-z]{3}@[a-z]{4}\\d\\.[a-z]{7}\\.com\u0003\u0001", got[1].text)
 
 
 def test_names(spark):
