@@ -3,13 +3,16 @@
 Encoding: a pattern cuts texts into words; the distinct words not yet known become (word, place, token) rows, a token a
 byte. A recursive query joins neighbours with the merge table, contracts the leftmost pair of least rank of every word
 that has one, and ends when no word has. Words found go into a memory of bounded size. A word that is itself a token is
-that token. The recursion takes a step for each contraction of a word, each over all its rows, so its work grows with the
-square of a word's length; words of over LONG bytes make the same contractions in the same order from a heap.
+that token. A step of the recursion makes one contraction in each word of up to SHORT bytes. Of a longer one it makes all contractions of
+the least rank at once, from the left, so such a word takes a step for each rank that it meets, not for each contraction. The result is
+the same if each word of the vocabulary contracts to itself: then no contraction makes a pair of lower rank than its own. This is checked
+before the first longer word; with other vocabularies a step contracts the leftmost pair only.
 Decoding: id sequences are cut before tokens that start with a blank, distinct pieces are joined with the vocabulary and put
 together by an ordered aggregation, and texts put together from their pieces.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded each; null ids of
-rows are kept; unknown token ids raise ValueError; an empty table gives an empty result; other columns are not read.
+rows are kept; unknown token ids raise ValueError; an empty table gives an empty result; very long texts and words are taken whole; other columns
+are not read, whatever their names; where encode() adds a column of a name that is there, that of the input stays with _ behind its name.
 The rank file is a parameter, read by the driver and broadcast (its size is checked against MOST_BYTES).
 """
 
@@ -18,7 +21,6 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import heapq
 import threading
 from collections.abc import Callable, Iterator
 
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import record_batch
 
-#: Words of more bytes leave the recursion; words of one recursion; words remembered; characters of texts taken together.
-LONG, TOGETHER, REMEMBERED, CHARACTERS = 256, 60_000, 500_000, 4 << 20
+#: Bytes of a word whose places fit in 8 bits; words and bytes of one recursion; words remembered; characters of texts taken together.
+SHORT, TOGETHER, ROWS, REMEMBERED, CHARACTERS = 256, 60_000, 1 << 20, 500_000, 4 << 20
+#: MB of a database; a recursion over a single word of more than ROWS bytes gets as many more as its rows ask for.
+MEMORY, ROW_BYTES = 300, 400
 #: Bytes of a rank file that are broadcast at most.
 MOST_BYTES = 64 << 20
 #: Seconds after which a worker without tasks gives the remembered words back.
@@ -55,6 +59,27 @@ WITH RECURSIVE run(k, token, more) AS (
 )
 SELECT k >> 8 AS word, list(token ORDER BY k) AS tokens FROM run WHERE NOT more GROUP BY k >> 8 ORDER BY word
 """
+#: For longer words, with 32 bits for the place. i: a token's number; hits: the pairs of a word's least rank; together: the same for neighbours.
+CONTRACT_LONG = """
+WITH RECURSIVE run(k, token, more) AS (
+    SELECT k, token, true FROM given
+  UNION ALL
+    SELECT * FROM (
+        WITH pairs AS MATERIALIZED (
+            SELECT k, token, i, made FROM (
+                SELECT k, token, row_number() OVER w AS i, lead(token) OVER w AS next, lead(k >> 32) OVER w AS beside FROM run WHERE more WINDOW w AS (ORDER BY k))
+            LEFT JOIN merges ON merges.l = token AND merges.r = next AND beside = k >> 32),
+        best AS MATERIALIZED (SELECT k >> 32 AS word, min(made) AS least FROM pairs GROUP BY k >> 32),
+        hits AS (SELECT i, word, made, i - row_number() OVER (ORDER BY i) AS together FROM pairs JOIN best ON word = k >> 32 AND made = least),
+        taken AS MATERIALIZED (SELECT i, made FROM (SELECT i, made, row_number() OVER (PARTITION BY {part} ORDER BY i) AS nth FROM hits) WHERE {which})
+        SELECT k, coalesce(taken.made, token)::INT, least IS NOT NULL
+        FROM pairs JOIN best ON word = k >> 32 LEFT JOIN taken ON taken.i = pairs.i
+        WHERE pairs.i - 1 NOT IN (SELECT i FROM taken))
+)
+SELECT k >> 32 AS word, list(token ORDER BY k) AS tokens FROM run WHERE NOT more GROUP BY k >> 32 ORDER BY word
+"""
+ALL_AT_ONCE = CONTRACT_LONG.format(part="together", which="nth % 2 = 1")
+LEFTMOST = CONTRACT_LONG.format(part="word", which="nth = 1")
 PUT_TOGETHER = "SELECT piece, array_to_string(list(shown ORDER BY place), '') AS text FROM given JOIN vocabulary USING (token) GROUP BY piece ORDER BY piece"
 
 
@@ -62,6 +87,19 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
+def together(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Words of rising length in lots of at most TOGETHER words and ROWS bytes, short and longer ones apart; a word of more bytes is alone."""
+    some, size = [], 0
+    for w in words:
+        if some and (len(some) >= TOGETHER or size + len(w) > ROWS or len(some[-1]) <= SHORT < len(w)):
+            yield some
+            some, size = [], 0
+        some.append(w)
+        size += len(w)
+    if some:
+        yield some
+
+
 class Codec:
     """A merge table's ranks are the ids of what a merge makes."""
 
@@ -72,14 +110,14 @@ class Codec:
         # A word of the vocabulary may be made of any two words of it.
         self.pairs = np.array([(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks], np.int32).reshape(-1, 3)
         self.vocabulary = pa.table({"token": np.array(list(ranks.values()), np.int32), "shown": [w.decode("latin-1") for w in ranks]})
-        self.base, self.busy, self.lock, self.clock = None, False, threading.Lock(), None
+        self.base, self.busy, self.lock, self.clock, self.whole = None, False, threading.Lock(), None, None
         size = max(ranks.values(), default=0) + 1
         self.starts, self.valid = np.zeros(size, bool), np.zeros(size, bool)
         for w, r in ranks.items():
             self.valid[r], self.starts[r] = True, w[:1] in (b" ", b"\n")
 
     def _open(self) -> None:
-        self.base = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.base = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         for name, table in (("merges", pa.table(dict(zip(("l", "r", "made"), self.pairs.T, strict=True)))), ("vocabulary", self.vocabulary)):
             self.base.register("_in", table)
             self.base.execute(f"CREATE TABLE {name} AS SELECT * FROM _in")
@@ -110,9 +148,12 @@ class Codec:
                 self.known, self.shown = {}, {}
                 gc.collect()
 
-    def _given(self, query: str, **columns) -> pa.Table:
+    def _open_if_needed(self) -> None:
         if not self.base:
             self._open()
+
+    def _given(self, query: str, **columns) -> pa.Table:
+        self._open_if_needed()
         self.base.register("given", pa.table(columns))
         out = self.base.sql(query).to_arrow_table()
         self.base.unregister("given")
@@ -122,48 +163,35 @@ class Codec:
         lens = np.array([len(w) for w in words])
         flat = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         starts = np.cumsum(lens) - lens
-        out = self._given(CONTRACT, k=np.repeat(np.arange(len(words)) << 8, lens) + np.arange(len(flat)) - np.repeat(starts, lens), token=flat)
+        query, bits = (CONTRACT, 8) if lens.max() <= SHORT else (ALL_AT_ONCE if self.reaches_all() else LEFTMOST, 32)
+        if len(flat) > ROWS + SHORT:
+            self._open_if_needed()
+            self.base.execute(f"SET memory_limit = '{MEMORY + len(flat) * ROW_BYTES // 1_000_000}MB'")
+        out = self._given(query, k=np.repeat(np.arange(len(words)) << bits, lens) + np.arange(len(flat)) - np.repeat(starts, lens), token=flat)
         tokens = out["tokens"].combine_chunks()
         edges, values = tokens.offsets.to_numpy(), tokens.values.to_numpy()
         return [values[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
-    def by_heap(self, word: bytes) -> np.ndarray:
-        """The same contractions in the same order."""
-        n, ranks = len(word), self.ranks
-        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        pair = lambda i: ranks.get(word[i : end[after[i]]]) if after[i] < n else None
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        gone = [False] * (n + 1)
-        while heap:
-            _, i, upto = heapq.heappop(heap)
-            if gone[i] or after[i] >= n or end[after[i]] != upto:
-                continue  # one of the two has been contracted since
-            j = after[i]
-            gone[j], end[i], after[i] = True, end[j], after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (i, before[i]):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heapq.heappush(heap, (r, k, end[after[k]]))
-        return np.array([ranks[word[i : end[i]]] for i in range(n) if not gone[i]], np.int32)
+    def reaches_all(self) -> bool:
+        """Whether each word of the vocabulary contracts to itself, one leftmost pair of least rank after the other."""
+        if self.whole is None:
+            self.whole = False
+            words = sorted((w for w in self.ranks if len(w) > 1), key=len)
+            self.whole = all(len(t) == 1 and t[0] == self.ranks[w] for some in together(words) for w, t in zip(some, self.by_recursion(some), strict=True))
+        return self.whole
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Tokens of words, as bytes of 32-bit integers."""
-        found, rest = {}, []
+        found, rest = {}, {}
         for w in words:
             raw = w.encode()
             if (r := self.ranks.get(raw)) is not None:
                 found[w] = r.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                found[w] = self.by_heap(raw).astype("<u4").tobytes()
             else:
-                rest.append((w, raw))
-        rest.sort(key=lambda x: len(x[1]))  # words of like length end together
-        for i in range(0, len(rest), TOGETHER):
-            some = rest[i : i + TOGETHER]
-            for (w, _), tokens in zip(some, self.by_recursion([raw for _, raw in some]), strict=True):
-                found[w] = tokens.astype("<u4").tobytes()
+                rest[raw] = w
+        for some in together(sorted(rest, key=len)):  # words of like length end together
+            for raw, tokens in zip(some, self.by_recursion(some), strict=True):
+                found[rest[raw]] = tokens.astype("<u4").tobytes()
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -252,9 +280,17 @@ def _texts(b: pa.RecordBatch, column: int) -> list[str]:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens") -> DataFrame:
-    """docs with the ids (array of int) and their number in place of the text."""
-    others = [c for c in docs.columns if c not in (text_col, ids_col, n_col)]
-    rows = docs.select(F.col(f"`{text_col}`"), *(F.col(f"`{c}`") for c in others))
+    """docs with the ids (array of int) and their number in place of the text; a column of the input named like one of these gets _ behind."""
+    others, taken = [], {*docs.columns, ids_col, n_col}
+    for c in docs.columns:
+        name = c
+        while c in (ids_col, n_col) and name in taken:
+            name += "_"
+        taken.add(name)
+        if c != text_col:
+            others.append((c, name))
+    rows = docs.select(F.col(f"`{text_col}`"), *(F.col(f"`{c}`").alias(name) for c, name in others))
+    others = [name for _, name in others]
     kinds = dict(rows.dtypes)
 
     def f(own: Codec, b: pa.RecordBatch) -> pa.RecordBatch:
