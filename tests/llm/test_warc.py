@@ -7,8 +7,9 @@ from collections import defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from larkspur.llm.warc import manifest, parsed, read_archives, write_archives
+from larkspur.llm.warc import manifest, parsed, read_archives, shard_of, write_archives
 
 HTML = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "<p>é漢\r\n\r\nx</p>", "<p>a</p>", "long " * 40_000, "x"]
 
@@ -36,7 +37,7 @@ def brute(rows, least=0):
 
 @pytest.mark.parametrize("least", [0, 5])
 def test_round_trip(spark, pages, tmp_path, least):
-    write_archives(pages, f"file://{tmp_path}/w", least=least, ids_per_shard=10, roll=3000)
+    write_archives(pages, f"file://{tmp_path}/w", least=least, shard_bytes=10_000, roll=3000)
     got = read_archives(spark, f"file://{tmp_path}/w").collect()
     assert sorted(map(str, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(map(str, brute(pages.collect(), least)))
     for r in got:
@@ -48,11 +49,11 @@ def test_round_trip(spark, pages, tmp_path, least):
 def test_files(spark, pages, tmp_path):
     """Reruns, over other partitions, write the same bytes; files roll; records of a shard stand in order; orphans are not read."""
     for name, n in (("a", 4), ("b", 7)):
-        write_archives(pages.repartition(n), f"file://{tmp_path}/{name}", ids_per_shard=20, roll=2000)
+        write_archives(pages.repartition(n), f"file://{tmp_path}/{name}", shard_bytes=5000, roll=2000)
     files = lambda name: {p.name: p.read_bytes() for p in Path(tmp_path, name).glob("*.warc.gz")}
     a, b = files("a"), files("b")
     assert a == b
-    assert len(a) > 5
+    assert len(a) > 5 and len({n.split("-")[1] for n in a}) < len(a)
     rows = {r.file: r for r in manifest(spark, f"file://{tmp_path}/a").collect()}
     assert rows.keys() == a.keys()
     for name, raw in a.items():
@@ -69,7 +70,7 @@ def test_files(spark, pages, tmp_path):
 
 
 def test_damage_is_seen(spark, pages, tmp_path):
-    write_archives(pages, f"file://{tmp_path}/d", ids_per_shard=1000)
+    write_archives(pages, f"file://{tmp_path}/d")
     name = next(Path(tmp_path, "d").glob("shard-0*.warc.gz"))
     raw = bytearray(gzip.decompress(name.read_bytes()))
     raw[raw.index(b"<p>b</p>") + 3] ^= 1
@@ -81,3 +82,22 @@ def test_damage_is_seen(spark, pages, tmp_path):
 def test_empty(spark, pages, tmp_path):
     assert write_archives(pages.limit(0), f"file://{tmp_path}/e").collect() == []
     assert read_archives(spark, f"file://{tmp_path}/e").collect() == []
+
+
+def test_few_files_for_sparse_ids(spark, tmp_path):
+    """Shards go by bytes, whatever the ids; a hot id without a value is cut up too."""
+    rows = spark.range(400).selectExpr("if(id % 3 = 0, null, id * 1000000007) as page_id", "concat('http://h/', id) as url", "repeat(sha2(cast(id as string), 256), 40) as html")
+    write_archives(rows, f"file://{tmp_path}/s", shard_bytes=200_000, roll=1 << 20)
+    names = sorted(r.file for r in manifest(spark, f"file://{tmp_path}/s").collect())
+    assert 5 <= len(names) <= 8
+    got = read_archives(spark, f"file://{tmp_path}/s")
+    assert got.rdd.getNumPartitions() == 1 and got.count() == 400 and got.where("page_id is null").count() == 134
+
+
+def test_shard_of(spark):
+    keys = [(None, -5), (None, 7), (3, 1), (3, 9), (8, -2)]
+    some = [(None, -9), (None, -5), (None, 6), (None, 7), (0, 0), (3, 0), (3, 1), (3, 8), (3, 9), (8, -3), (8, -2), (99, 99)]
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(some)], "k int, i long, p long")
+    got = {r.k: r.s for r in rows.select("k", shard_of(keys, F.col("i"), F.col("p")).alias("s")).collect()}
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert got == {k: max(0, sum(order(y) <= order(x) for y in keys) - 1) for k, x in enumerate(some)}
