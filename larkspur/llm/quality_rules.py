@@ -1,13 +1,14 @@
 """Quality rules with adaptive thresholds.
 
 Each document's ratios (symbols, repeated lines, repeated words, word length) go into mergeable quantile sketches: counts of logarithmic
-buckets, whose quantiles have a relative error of at most ALPHA and whose merge is addition. A sketch per language
-and source replaces fixed cutoffs; groups of fewer than LEAST documents take the merged sketch of their language,
-and languages of fewer the merge of all. A document goes if a ratio lies beyond the far fence of its group, i.e.
+buckets, whose quantiles have a relative error of at most ALPHA and whose merge is addition. The quartiles of the sketch of a language
+and source replace fixed cutoffs; they are drawn towards those of the language's merged sketch, which weigh as much in a group of PRIOR
+documents and less with the square of its size, and the language's likewise towards those of all: no size has a switch. A document goes if a ratio lies beyond the far fence of its group, i.e.
 WIDTH times the spread of the quartiles (at least the ratio's floor) beyond a quartile, or if it fails the base rules.
 
 Defined results: null and empty texts have no words and fail the base; null languages and sources are groups of
-their own; repeated rows are judged alike; an empty table gives an empty result; other columns are left alone.
+their own; repeated rows are judged alike; very long texts are measured whole; an empty table gives an empty result; other columns are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BLANKS, checkpointed, record_batch, rows_by_rid, settled, with_rid
+from larkspur.llm.common import BLANKS, checkpointed, joined_hot, record_batch, rows_by_rid, settled, with_rid
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 ALPHA = 0.01
-LEAST = 50
+PRIOR = 50
 WIDTH = 3.0
 #: Ratio: the least spread that counts, and whether low values are judged too.
 RATIOS = {"word_length": (1.0, True), "symbols": (0.03, False), "dup_lines": (0.15, False), "repeats": (0.06, False)}
@@ -99,22 +100,26 @@ def fences(sketch: DataFrame) -> DataFrame:
     own = quartiles(sketch, "_lang", "_source")
     lang = quartiles(merged(sketch, "_lang"), "_lang").select(F.col("_lang").alias("_l"), F.col("_ratio").alias("_r"), F.struct("_n", "_q1", "_q3").alias("_by_lang"))
     every = quartiles(merged(sketch)).select(F.col("_ratio").alias("_e"), F.struct("_n", "_q1", "_q3").alias("_by_all"))
-    q = F.when(F.col("_n") >= LEAST, F.struct("_n", "_q1", "_q3")).when(F.col("_by_lang._n") >= LEAST, F.col("_by_lang")).otherwise(F.col("_by_all"))
     rows = own.join(lang, F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("_ratio") == F.col("_r"))).join(every, F.col("_ratio") == F.col("_e"))
+    own_part = lambda n: F.col(n) * F.col(n) / (F.col(n) * F.col(n) + PRIOR * PRIOR)
+    drawn = lambda n, q, to: own_part(n) * F.col(q) + (1 - own_part(n)) * to
+    q1, q3 = (drawn("_n", q, drawn("_by_lang._n", f"_by_lang.{q}", F.col(f"_by_all.{q}"))) for q in ("_q1", "_q3"))
     floor = F.create_map(*(F.lit(x) for k, v in RATIOS.items() for x in (k, v[0])))
-    spread = F.greatest(F.col("_q._q3") - F.col("_q._q1"), floor[F.col("_ratio")]) * WIDTH
-    return rows.withColumn("_q", q).select("_lang", "_source", "_ratio", (F.col("_q._q1") - spread).alias("_low"), (F.col("_q._q3") + spread).alias("_high"))
+    spread = F.greatest(q3 - q1, floor[F.col("_ratio")]) * WIDTH
+    return rows.select("_lang", "_source", "_ratio", (q1 - spread).alias("_low"), (q3 + spread).alias("_high"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """A row for each language and source, with a map of the fences: _g_lang, _g_source, _fences."""
-    return fences(sketch).groupBy(F.col("_lang").alias("_g_lang"), F.col("_source").alias("_g_source")).agg(F.map_from_entries(F.collect_list(F.struct("_ratio", F.struct("_low", "_high")))).alias("_fences"))
+def thresholds(sketch: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sizes: _lang, _source, _rows of all. A row for each, with a map of the fences (null if no document of the group has a word)."""
+    limits = fences(sketch).groupBy(F.col("_lang").alias("_g_lang"), F.col("_source").alias("_g_source")).agg(F.map_from_entries(F.collect_list(F.struct("_ratio", F.struct("_low", "_high")))).alias("_fences"))
+    return sizes.join(limits, F.col("_lang").eqNullSafe(F.col("_g_lang")) & F.col("_source").eqNullSafe(F.col("_g_source")), "left").drop("_g_lang", "_g_source")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     found = checkpointed(features(docs, id_col, text_col, lang_col, source_col))
-    limits = checkpointed(thresholds(sketches(found)))
-    rows = found.join(limits, F.col("_lang").eqNullSafe(F.col("_g_lang")) & F.col("_source").eqNullSafe(F.col("_g_source")), "left")
+    sizes = checkpointed(found.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_rows")))
+    limits = checkpointed(thresholds(sketches(found), sizes))
+    rows = joined_hot(found, limits, ["_lang", "_source"], "_rows", sizes.agg(F.sum("_rows")).first()[0] or 0)
     beyond = F.lit(False)
     for k, (_, low_too) in RATIOS.items():
         fence = F.col("_fences")[k]
