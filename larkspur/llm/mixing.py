@@ -3,29 +3,30 @@
 Targets: sources in order of code points (null last) weigh WEIGHTS, repeating, and share `share` of all words; a
 target stops at `most` times its source's words, the excess is dealt anew by weight until none is above.
 Rates: of all document rates w in [0, most] that meet each source's target, those of least relative entropy to 1
-are w = min(most, exp(l * size / mean size)); l solves the convex dual, found by Newton steps (with bisection as a
-guard) over counts of equal sizes, aggregated before the first step, so a step costs the same for hot sources.
+are w = min(most, exp(l * size / mean size)); l solves the convex dual, found by Newton steps over counts of equal sizes, aggregated
+before the first step, so a step costs the same for hot sources. Steps that leave the interval of the solution halve it, and from the
+NEWTON-th on all do, so the interval is down to rounding within some 60 more; a source that is not solved then raises RuntimeError.
 Copies: rates are rounded within blocks of a source of about BLOCK documents, the largest first, each rounding
 error handed on to the next document; a block's error is at most half of one of its small documents.
 
 Defined results: null and empty texts have size 0 and take 0 words; a source of size 0 has target 0; repeated rows
-are documents of their own; nulls in the id are kept; an empty table gives an empty result.
+are documents of their own; nulls in the id are kept; very long texts count whole, and are rounded like others; an empty table gives an
+empty result; other columns are not read by mix() and kept by mixed_rows(), whatever their names.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, checkpointed, settled, with_rid
+from larkspur.llm.common import WORD, checkpointed, joined_hot, settled, with_rid
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 4096
 TOLERANCE = 1e-9
-STEPS = 60
+NEWTON, STEPS = 40, 140
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def solved(sizes: DataFrame, goals: DataFrame, most: float) -> DataFrame:
     goal = goals.where("_words > 0").select("_source", "_key", "_target", (F.col("_words") / F.col("_docs")).alias("_mean"))
     counts = checkpointed(x.join(goal.select("_source", "_key", "_mean"), x["_source"].eqNullSafe(goal["_source"])).select("_key", (F.col("_size") / F.col("_mean")).alias("_x"), "_size", "_count"))
     state = goal.select("_key", "_target", F.lit(0.0).alias("_tilt"), F.lit(-745.0).alias("_lo"), F.lit(745.0 * 64).alias("_hi"), F.lit(False).alias("_done"))
-    for _ in range(STEPS):
+    for step in range(STEPS):
         tilt = F.col("_tilt") * F.col("_x")
         free = tilt < F.log(F.lit(most))
         rate = F.when(free, F.exp(tilt)).otherwise(F.lit(float(most)))
@@ -76,11 +77,11 @@ def solved(sizes: DataFrame, goals: DataFrame, most: float) -> DataFrame:
         newton = F.col("_tilt") - F.try_divide(off, F.col("_slope"))
         moved = state.join(got, "_key", "left").withColumns({"_lo": F.when(F.col("_got").isNull(), F.col("_lo")).otherwise(lo), "_hi": F.when(F.col("_got").isNull(), F.col("_hi")).otherwise(hi), "_near": F.abs(off) <= TOLERANCE * F.greatest("_target", F.lit(1.0)), "_newton": newton})
         inside = F.col("_newton").isNotNull() & (F.col("_newton") > F.col("_lo")) & (F.col("_newton") < F.col("_hi"))
-        then = F.when(F.col("_done") | F.col("_near"), F.col("_tilt")).when(inside, F.col("_newton")).otherwise((F.col("_lo") + F.col("_hi")) / 2)
-        state = checkpointed(moved.select("_key", "_target", then.alias("_tilt"), "_lo", "_hi", (F.col("_done") | F.coalesce("_near", F.lit(False)) | (F.col("_hi") - F.col("_lo") < 1e-12)).alias("_done")))
+        then = F.when(F.col("_done") | F.col("_near"), F.col("_tilt")).when(inside & F.lit(step < NEWTON), F.col("_newton")).otherwise((F.col("_lo") + F.col("_hi")) / 2)
+        state = checkpointed(moved.select("_key", "_target", then.alias("_tilt"), "_lo", "_hi", (F.col("_done") | F.coalesce("_near", F.lit(False)) | (F.col("_hi") - F.col("_lo") <= 1e-12 * F.greatest(F.lit(1.0), F.abs(then)))).alias("_done")))
         if state.where("not _done").isEmpty():
-            break
-    return state.select("_key", "_tilt")
+            return state.select("_key", "_tilt")
+    raise RuntimeError(f"no rates meet the targets after {STEPS} steps")
 
 
 def rounded(sizes: np.ndarray, rates: np.ndarray, most: int) -> np.ndarray:
@@ -104,7 +105,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     goals = checkpointed(goals.join(solved(sizes, goals, most), "_key", "left"))
     tilt = F.coalesce("_tilt", F.lit(0.0)) * F.try_divide(F.col("_size") * F.col("_docs"), F.col("_words"))
     rate = F.least(F.lit(float(most)), F.exp(F.least(F.coalesce(tilt, F.lit(0.0)), F.lit(700.0))))
-    each = sized.join(goals.select(F.col("_source").alias("_s"), "_key", "_words", "_docs", "_all", "_target", "_tilt"), F.col("_source").eqNullSafe(F.col("_s")))
+    total = goals.agg(F.sum("_all")).first()[0] or 0
+    each = joined_hot(sized, goals.select("_source", "_key", "_words", "_docs", "_all", "_target", "_tilt"), ["_source"], "_all", total)
     blocks = F.pmod(F.xxhash64("_id", "_rid"), F.ceil(F.col("_all") / BLOCK))
     each = each.select("_rid", "_id", "_size", F.col("_words").alias("_source_size"), "_target", rate.alias("_rate"), "_key", blocks.alias("_block"))
     kinds = dict(each.dtypes)
