@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import time
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,6 +42,25 @@ def hashed_trigrams(dimension: int = 384) -> Embedder:
     return embed
 
 
+def text_vectors(embedder: Embedder, batch: int = 256):
+    """A function of a text column. Texts of a call that fails have no vector."""
+
+    @F.pandas_udf("array<float>")
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            rows = []
+            for i in range(0, len(texts), batch):
+                some = texts.iloc[i : i + batch].tolist()
+                try:
+                    rows += list(np.asarray(embedder(some), np.float32))
+                except Exception as e:  # noqa: BLE001
+                    print(f"no vectors for {len(some)} texts: {e}", file=sys.stderr)
+                    rows += [None] * len(some)
+            yield pd.Series(rows)
+
+    return embed
+
+
 def embedded(products: DataFrame, embedder: Embedder, batch: int = 256) -> DataFrame:
     """id, embedding. Texts reach the embedder in Arrow batches, at most `batch` at a time; a worker loads it once."""
 

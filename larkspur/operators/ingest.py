@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from larkspur.functions.text import name_key, strip
 from larkspur.sources.schema import CSV_COLUMNS, MOST_CHARACTERS, PRODUCT_COLUMNS
 
+#: Rows that are numbered together.
+BLOCK = 1 << 16
 STATUSES = ("new", "duplicate", "existing", "invalid")
 
 
@@ -17,6 +18,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def has_data(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder has a file that Spark would read as data."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in store.listStatus(p))
+
+
 def resolve_path(spark: SparkSession, *paths: str) -> str:
     """The first path that exists."""
     for path in paths:
@@ -26,9 +34,10 @@ def resolve_path(spark: SparkSession, *paths: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """row_num (the line of the first data row is 2) and the columns as text, renamed. A padded header name counts as the bare one.
+    """row_num (the first data row of the first file is 2) and the columns as text, renamed. A padded header name counts as the bare one.
 
-    The file is read by one task: it keeps its rows' order, on which "the first of duplicates stays" rests.
+    A file is read by one task, as its values may span lines; the files of a folder are read side by side, and numbered on from one to the
+    next. The order of rows, on which "the first of duplicates stays" rests, is that of their numbers.
     """
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     named = {c.strip().lstrip("﻿"): c for c in raw.columns}
@@ -36,7 +45,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"the CSV lacks the columns {', '.join(missing)}")
     rows = raw.select(*(F.col(f"`{named[c]}`").alias(to) for c, to in CSV_COLUMNS.items()))
-    return rows.coalesce(1).withColumn("row_num", F.monotonically_increasing_id() + 2)
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    starts, start = [], 2
+    for part, n in dealt.groupBy("_part").count().orderBy("_part").collect():  # a row for each task
+        starts.append((part, start))
+        start += n
+    offsets = spark.createDataFrame(starts, "_part long, _start long")
+    return dealt.join(F.broadcast(offsets), "_part").withColumn("row_num", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_start")).drop("_at", "_part", "_start")
 
 
 def classified(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -52,8 +67,8 @@ def classified(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     reason = F.when(F.size(empty) > 0, F.concat(F.lit("missing: "), F.array_join(empty, ", "))).when(F.size(long) > 0, F.concat(F.lit("too long: "), F.array_join(long, ", "))).when(money.isNull(), "price is no number")
     rows = rows.withColumn("reason", reason).withColumn("name_key", name_key(F.col("product_name"))).withColumn("price", money)
     valid = F.col("reason").isNull()
-    first = F.row_number().over(Window.partitionBy("name_key", valid).orderBy("row_num")) == 1
-    rows = rows.withColumn("_first", first)
+    firsts = rows.where(valid).groupBy("name_key").agg(F.min("row_num").alias("_first_row"))
+    rows = rows.join(firsts, "name_key", "left").withColumn("_first", F.col("row_num") == F.col("_first_row")).drop("_first_row")
     if existing is None:
         rows = rows.withColumn("_known", F.lit(False))
     else:
@@ -70,21 +85,22 @@ def report(rows: DataFrame) -> DataFrame:
 
 
 def new_products(rows: DataFrame, first_id: int = 1) -> DataFrame:
-    """The new rows as products, with ids in the order of the file."""
-    new = rows.where("status = 'new'")
-    nth = F.row_number().over(Window.orderBy("row_num")) + (first_id - 1)
-    return new.withColumn("id", nth.cast("long")).select(*PRODUCT_COLUMNS)
+    """The new rows as products, with ids in the order of the file: counted on from block to block of row numbers."""
+    new = rows.where("status = 'new'").withColumn("_block", F.floor(F.col("row_num") / BLOCK))
+    blocks = new.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = blocks.withColumn("_before", F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).drop("_n")  # a row for each block
+    nth = F.row_number().over(Window.partitionBy("_block").orderBy("row_num")) + F.col("_before") + (first_id - 1)
+    return new.join(offsets, "_block").withColumn("id", nth.cast("long")).select(*PRODUCT_COLUMNS)
 
 
 def ingest_csv(spark: SparkSession, path: str, catalogue: str) -> dict[str, int]:
     """Appends the new products of a CSV to the Parquet catalogue in one job, and gives the counters. A second run adds nothing."""
     existing, first_id = None, 1
-    if exists(spark, catalogue):
-        try:
-            existing = spark.read.parquet(catalogue)
-            first_id = (existing.agg(F.max("id")).first()[0] or 0) + 1
-        except AnalysisException:
-            existing = None
+    if has_data(spark, catalogue):
+        existing = spark.read.parquet(catalogue)
+        if missing := [c for c in PRODUCT_COLUMNS if c not in existing.columns]:
+            raise ValueError(f"the catalogue lacks the columns {', '.join(missing)}")
+        first_id = (existing.agg(F.max("id")).first()[0] or 0) + 1
     rows = classified(read_csv(spark, path), existing).cache()
     counters = report(rows).first().asDict()
     if counters["new"]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import strip
 from larkspur.operators.batch import Batch
 from larkspur.operators.candidates import CANDIDATES, LEAST_FUZZY, fuzzy_candidates, semantic_candidates, similarities, trigram_index
-from larkspur.operators.embedding import Embedder
+from larkspur.operators.embedding import Embedder, text_vectors
 from larkspur.operators.ranking import SCORES, ranked
 
 
@@ -17,13 +19,13 @@ class Catalogue:
     """Products, their vectors and the trigram index of their distinct values; an embedder turns query texts into vectors."""
 
     def __init__(self, products: DataFrame, embeddings: DataFrame | None = None, embedder: Embedder | None = None):
-        self.products, self.embeddings = products, embeddings
+        self.products, self.embeddings, self.embedder = products, embeddings, embedder
         self.spark, self.index = products.sparkSession, trigram_index(products)
         self.vector = lru_cache(128)(lambda q: embedder([q])[0].tolist()) if embedder else None
 
     def cached(self) -> Catalogue:
-        """Kept in memory between searches."""
-        self.products, self.index = self.products.cache(), self.index.cache()
+        """Kept in memory between searches, products over all cores."""
+        self.products, self.index = self.products.repartition("id").cache(), self.index.cache()
         self.embeddings = self.embeddings.cache() if self.embeddings is not None else None
         return self
 
@@ -35,13 +37,33 @@ class Catalogue:
         self.search("warmup", limit=1).count()
         return self
 
+    def _vector(self, query: str) -> list[float] | None:
+        """Of an embedder that fails there is none: the search goes on, with semantic scores of 0."""
+        try:
+            return self.vector(query.strip()) if self.vector and self.embeddings is not None and query.strip() else None
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"no vector for the query: {e}", RuntimeWarning, stacklevel=3)
+            return None
+
+    def with_vectors(self, queries: DataFrame) -> DataFrame:
+        """queries with a vector for each that has none: distinct texts go to the embedder in Arrow batches."""
+        if self.embedder is None or self.embeddings is None:
+            return queries
+        own = F.col("vector") if "vector" in queries.columns else F.lit(None)
+        asked = queries.select("query_id", "q", own.cast("array<double>").alias("_own"))
+        texts = asked.where("_own is null").select(strip(F.coalesce("q", F.lit(""))).alias("_text")).where("_text <> ''").distinct()
+        made = texts.select("_text", text_vectors(self.embedder)(F.col("_text")).alias("_made"))
+        found = asked.withColumn("_text", F.when(F.col("_own").isNull(), strip(F.coalesce("q", F.lit(""))))).join(made, "_text", "left")
+        return found.select("query_id", "q", F.coalesce("_own", F.col("_made").cast("array<double>")).alias("vector"))
+
     def search(self, query: str, limit: int = 20, candidate_limit: int = CANDIDATES, min_final_score: float = 0.10, vector: list[float] | None = None) -> DataFrame:
         """Ranked results of one query; none for a blank one."""
-        return ranked(self.products, self.embeddings, self.batch(query, vector), limit, candidate_limit, min_final_score, self.index).drop("query_id")
+        batch = Batch.one(self.spark, query, vector if vector is not None else self._vector(query))
+        return ranked(self.products, self.embeddings, batch, limit, candidate_limit, min_final_score, self.index).drop("query_id")
 
     def search_many(self, queries: DataFrame, limit: int = 20, candidate_limit: int = CANDIDATES, min_final_score: float = 0.10) -> DataFrame:
-        """queries: query_id, q and optionally vector. As search, with query_id."""
-        found = [ranked(self.products, self.embeddings, b, limit, candidate_limit, min_final_score, self.index) for b in Batch.many(queries)]
+        """queries: query_id, q and optionally vector; the embedder, if there is one, makes those that are not given. As search, with query_id."""
+        found = [ranked(self.products, self.embeddings, b, limit, candidate_limit, min_final_score, self.index) for b in Batch.many(self.with_vectors(queries))]
         return reduce(DataFrame.unionByName, found)
 
     def fuzzy_search(self, query: str, limit: int = 50, min_similarity: float = LEAST_FUZZY) -> DataFrame:

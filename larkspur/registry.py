@@ -12,7 +12,7 @@ from larkspur.functions.trigram import similarity, strict_word_similarity
 from larkspur.operators import ingest
 from larkspur.operators.batch import Batch
 from larkspur.operators.candidates import exact_candidates, fuzzy_candidates, partial_candidates, semantic_candidates, similarities, trigram_index, value_similarities
-from larkspur.operators.embedding import embedded, hashed_trigrams, product_text
+from larkspur.operators.embedding import embedded, hashed_trigrams, product_text, text_vectors
 from larkspur.operators.integrity import alignment
 from larkspur.operators.ranking import candidate_union
 from larkspur.plans.evaluation import latency_percentiles, latency_summary, quality_breakdown, target_status, verdict
@@ -158,6 +158,14 @@ def hybrid_sql(q: str, vec_id: int, limit: int, columns: str = "id, product_name
       ORDER BY final_score DESC, semantic_score DESC, fuzzy_score DESC, id LIMIT {limit}"""
 
 
+#: Texts and their vectors of eight hashed trigram counts, worked out apart from Spark.
+EMBEDDED = (
+    ("Nike Running Shoes", [0.27735, 0.5547, 0.0, -0.27735, 0.27735, 0.27735, 0.27735, 0.5547]),
+    ("café 42", [0.0, 0.40825, 0.8165, 0.0, 0.0, 0.0, 0.0, -0.40825]),
+    ("!!", [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]),
+    ("aaaa", [0.0, 0.0, 0.37796, 0.37796, 0.0, 0.75593, -0.37796, 0.0]),
+)
+
 # ---- queries ----------------------------------------------------------------------------------------------------------
 
 SHOWN = ("id", "product_name", "brand", "category", "exact_score", "partial_score", "fuzzy_score", "semantic_score", "final_score")
@@ -233,6 +241,18 @@ def embedder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(product_view(spark, sf_dir), hashed_trigrams(64)).select("id", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
 
 
+def fixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of fixed texts, an element a row."""
+    texts = spark.createDataFrame([(t,) for t, _ in EMBEDDED], "text string")
+    return texts.select("text", F.posexplode(text_vectors(hashed_trigrams(8))(F.col("text"))).alias("at", "x")).select("text", "at", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = Catalogue(product_view(spark, sf_dir), embedding_view(spark, sf_dir))
+    vector = embedding_view(spark, sf_dir).where("id = 3").first()["embedding"]
+    return catalogue.response("cold widget", 5, vector).select("query", "count", F.explode("results").alias("r")).select("query", "count", "r.id", "r.product_name", "r.price", "r.final_score")
+
+
 def many(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = Catalogue(product_view(spark, sf_dir), embedding_view(spark, sf_dir))
     return catalogue.search_many(with_vectors(spark, sf_dir, MANY), 10).select("query_id", "id", *SHOWN[4:])
@@ -262,7 +282,9 @@ QUERIES: dict[str, Query] = {
     "candidate_union": lambda s, d: candidate_union(product_view(s, d), embedding_view(s, d), by_example(s, d, "smal widgt", 5)).select("id", "fuzzy_score"),
     "hybrid_search": hybrid("cold widget", 3),
     "hybrid_typo": hybrid("smal widgt", 5, 20),
-    "hybrid_no_result": lambda s, d: Catalogue(product_view(s, d)).search("zzzqqq999", 10).select(*SHOWN),
+    "hybrid_short": hybrid("pl", 4),
+    "hybrid_semantic_only": hybrid("zzzqqq999", 1),
+    "hybrid_no_result": lambda s, d: Catalogue(product_view(s, d), embedding_view(s, d)).search("zzzqqq999", 10).select(*SHOWN),
     "search_many": many,
     "ingest_dedupe": lambda s, d: classified(s, d).select("row_num", "name_key", "status"),
     "ingest_existing_antijoin": lambda s, d: classified(s, d).where("status = 'new'").select("name_key"),
@@ -272,7 +294,8 @@ QUERIES: dict[str, Query] = {
     "latency_summary": lambda s, d: latency_summary(runs(s, d), "type").select("type", "n", "min_ms", "median_ms", "max_ms", verdict(F.col("median_ms")).alias("verdict"), target_status(F.lit("Exact"), F.col("median_ms")).alias("status")),
     "latency_percentiles": lambda s, d: latency_percentiles(runs(s, d), "type"),
     "quality_breakdown": lambda s, d: quality_breakdown(runs(s, d).select("type", F.when(F.col("ms") < 50, "PASS").otherwise("FAIL").alias("status"))),
-    "response_envelope": lambda s, d: Catalogue(product_view(s, d)).response("cold widget", 5).select("query", "count", F.explode("results").alias("r")).select("query", "count", "r.id", "r.product_name", "r.price"),
+    "response_envelope": response,
+    "embedder_fixed_texts": fixed_texts,
     "text_embedder": embedder_rows,
 }
 
@@ -299,6 +322,8 @@ ORACLE_SQL: dict[str, str] = {
     "candidate_union": f"WITH {PRODUCTS}, {union_ctes('smal widgt', 5)} SELECT id, fuzzy_score FROM candidates",
     "hybrid_search": hybrid_sql("cold widget", 3, 10),
     "hybrid_typo": hybrid_sql("smal widgt", 5, 20),
+    "hybrid_short": hybrid_sql("pl", 4, 10),
+    "hybrid_semantic_only": hybrid_sql("zzzqqq999", 1, 10),
     "hybrid_no_result": hybrid_sql("zzzqqq999", -1, 10),
     "search_many": " UNION ALL ".join(f"SELECT {i}::BIGINT AS query_id, * FROM ({hybrid_sql(q, v, 10, 'id, exact_score, partial_score, fuzzy_score, semantic_score, final_score')})" for i, (q, v) in enumerate(MANY)),
     "ingest_dedupe": f"WITH {CLASSIFIED} SELECT row_num, name_key, status FROM classified",
@@ -309,7 +334,9 @@ ORACLE_SQL: dict[str, str] = {
     "latency_summary": latency_sql("SELECT type, count(*) AS n, min(ms) AS min_ms, quantile_cont(ms, 0.5) AS median_ms, max(ms) AS max_ms, CASE WHEN quantile_cont(ms, 0.5) < 100 THEN 'Excellent' WHEN quantile_cont(ms, 0.5) < 500 THEN 'Good' WHEN quantile_cont(ms, 0.5) < 1000 THEN 'Acceptable' ELSE 'Slow' END AS verdict, CASE WHEN quantile_cont(ms, 0.5) <= 200 THEN 'PASS' ELSE 'FAIL' END AS status FROM runs GROUP BY type"),
     "latency_percentiles": latency_sql("SELECT type, count(*) AS n, list_sort(list(ms))[least(floor(count(*) * 0.95)::BIGINT, count(*) - 1) + 1] AS p95_ms, list_sort(list(ms))[least(floor(count(*) * 0.99)::BIGINT, count(*) - 1) + 1] AS p99_ms FROM runs GROUP BY type"),
     "quality_breakdown": latency_sql("SELECT type, count(*) AS total, count_if(ms < 50)::BIGINT AS passed, (count(*) - count_if(ms < 50))::BIGINT AS failed, 100.0::DOUBLE * count_if(ms < 50) / count(*) AS pass_rate FROM runs GROUP BY type"),
-    "response_envelope": f"SELECT 'cold widget' AS query, count(*) OVER () AS count, id, product_name, price::DOUBLE AS price FROM ({hybrid_sql('cold widget', -1, 5, 'id, product_name, price')})",
+    "response_envelope": f"SELECT 'cold widget' AS query, count(*) OVER () AS count, id, product_name, price::DOUBLE AS price, round(final_score, 4) AS final_score FROM ({hybrid_sql('cold widget', 3, 5, 'id, product_name, price, final_score')})",
+    "embedder_fixed_texts": " UNION ALL ".join(f"SELECT {text(t)} AS text, unnest(range(0, 8))::INT AS at, unnest({x}::DOUBLE[]) AS x" for t, x in EMBEDDED),
+    "text_embedder": f"WITH {PRODUCTS} SELECT id, 64 AS dimension, 1.0::DOUBLE AS length FROM products",
 }
 
 

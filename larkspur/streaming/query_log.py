@@ -9,7 +9,7 @@ from larkspur.plans.search import Catalogue
 
 
 def search_stream(queries: DataFrame, catalogue: Catalogue, path: str, checkpoint: str, limit: int = 10, once: bool = False) -> StreamingQuery:
-    """queries: a stream of query_id and q. Appends each micro-batch's ranked results to path, in a folder by batch: a retried batch overwrites its own."""
+    """queries: a stream of query_id, q and optionally vector, else the catalogue's embedder makes it. Appends each micro-batch's ranked results to path, in a folder by batch: a retried batch overwrites its own."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators.batch import Batch
-from larkspur.operators.candidates import fuzzy_candidates, fuzzy_scored, similarities
+from larkspur.operators.candidates import fuzzy_candidates, fuzzy_scored, semantic_candidates, similarities
 from larkspur.operators.embedding import hashed_trigrams
 from larkspur.plans.search import Catalogue
 from larkspur.sources.schema import PRODUCTS
@@ -65,8 +65,58 @@ def test_many_equals_one(spark, catalogue):
 def test_blocks(spark, products):
     frames = list(Batch.many(spark.createDataFrame([(i, f"q{i}") for i in range(50)], "query_id long, q string"), block=10))
     assert len(frames) == 5 and sum(f.frame.count() for f in frames) == 50
-    with pytest.raises(ValueError):
-        list(Batch.many(spark.createDataFrame([(1, "x" * 30_000)], "query_id long, q string")))
+    long = spark.createDataFrame([(1, "x" * 30_000), (2, "y" * 5000), (3, "z")], "query_id long, q string")
+    assert sorted(sorted(r.query_id for r in f.frame.collect()) for f in Batch.many(long, characters=6000)) == [[1], [2, 3]]
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_many_equals_one_with_an_embedder(spark, products, given):
+    """Vectors that are not given are made by the embedder, in a batch as for one query."""
+    embed = hashed_trigrams(32)
+    vectors = spark.createDataFrame([(i, embed([n])[0].tolist()) for i, n, *_ in ROWS[:5]], "id long, embedding array<float>")
+    found = Catalogue(products, vectors, embed)
+    asked = ["samsng phone", "wireles hedphone", " ", "%", "laptop", "laptop"]
+    rows = [(i, q, [float(x) for x in embed([q])[0]] if given and i % 2 else None) for i, q in enumerate(asked)]
+    queries = spark.createDataFrame(rows, "query_id long, q string, vector array<double>")
+    got = {}
+    for r in found.search_many(queries if given else queries.drop("vector")).collect():
+        got.setdefault(r.query_id, []).append((r.id, r.semantic_score, r.final_score))
+    for i, q in enumerate(asked):
+        want = [(r.id, r.semantic_score, r.final_score) for r in found.search(q).collect()]
+        one = sorted(got.get(i, []))
+        assert [x[0] for x in one] == [x[0] for x in sorted(want)], q
+        assert [y for x in one for y in x[1:]] == pytest.approx([y for x in sorted(want) for y in x[1:]]), q
+    assert any(x[1] > 0 for x in got[0])
+
+
+def test_an_embedder_that_fails(spark, products, catalogue):
+    """The search goes on without semantic scores, of one query and of many."""
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>")
+    found = Catalogue(products, vectors, broken)
+    with pytest.warns(RuntimeWarning, match="no model"):
+        one = found.search("samsng phone").collect()
+    many = found.search_many(spark.createDataFrame([(5, "samsng phone")], "query_id long, q string")).drop("query_id").collect()
+    assert one == many == catalogue.search("samsng phone").collect() and one
+
+
+def test_nearest_in_blocks(spark):
+    """The blocked product finds what single dot products find, ties by id, whatever the partitions; vectors of other sizes are left out."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(300)] + [(900, [1.0]), (901, None)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(7)
+    queries = [(q, f"q{q}", [float(x) for x in rng.integers(-2, 3, 4)]) for q in range(9)]
+    batch = next(Batch.many(spark.createDataFrame(queries, "query_id long, q string, vector array<double>")))
+    got = {}
+    for r in semantic_candidates(vectors, batch, 20).collect():
+        got.setdefault(r.query_id, set()).add((r.id, r.semantic_score))
+    for q, text, vector in queries:
+        assert got[q] == {(r.id, r.semantic_score) for r in semantic_candidates(vectors, Batch.one(spark, text, vector), 20).collect()}
 
 
 EDGE = ["", "   ", "a" * 500, "search " * 200, "!!!", "@@@", "###", "iphone!!!", "café", "फोन", "ગુજરાતી", "abcxyz123", "' OR '1'='1", "'; DROP TABLE products; --", "1 UNION SELECT * FROM products", "%", "_", "100%", "a\\b", "x\\", "\tnike\t", "phone phone case", "a :b"]
@@ -135,3 +185,5 @@ def test_plans(spark, catalogue, sf):
     assert "TakeOrderedAndProject" in one and "CartesianProduct" not in one
     many = catalogue.search_many(spark.createDataFrame([(1, "laptop"), (2, "sony")], "query_id long, q string"))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in many and "CartesianProduct" not in many
+    # Only parts with wildcards are compared with all distinct values.
+    assert many.count("BroadcastNestedLoopJoin") == many.count("BroadcastNestedLoopJoin BuildRight, Inner, value") == 2
