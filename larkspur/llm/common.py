@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +91,8 @@ def with_rid(df: DataFrame, name: str = "_rid") -> DataFrame:
 HOT = 4096
 
 
-def joined_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """big joined with small on keys (null equals null).
+def joined_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined with small on keys (null equals null); how: inner or left.
 
     small has a row for each key, with n, its rows of big; total: rows of big. Keys with over 1 / HOT of the rows, so fewer than HOT, are
     broadcast: the rows of a hot key stay where they lie. The others are shuffled.
@@ -99,7 +100,7 @@ def joined_hot(big: DataFrame, small: DataFrame, keys: list[str], n: str, total:
     own = small.withColumnsRenamed({k: f"_of{k}" for k in keys})
     alike = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys))
     hot = F.broadcast(own.where(F.col(n) * HOT > total))
-    often, rest = big.join(hot, alike), big.join(hot, alike, "left_anti").join(own, alike)
+    often, rest = big.join(hot, alike), big.join(hot, alike, "left_anti").join(own, alike, how)
     return often.unionByName(rest).drop(*(f"_of{k}" for k in keys))
 
 
@@ -117,6 +118,18 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(over, schema)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of 64 bits, a byte for each small one."""
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.int64, -1, 8 + n) if len(raw) > 8 + n else []
+    return out
+
+
 def texts(column: pa.Array) -> list[str]:
     """Null is the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from larkspur.llm.common import checkpointed, record_batch, removed, run_folder
+from larkspur.llm.common import checkpointed, packed, record_batch, removed, run_folder, unpacked
 
 STATES, PASSES, GAIN = 6, 4, 1e-4
 #: Classes at least and at most (powers of two); words of a class, about.
@@ -58,18 +58,6 @@ def classes_of(hashes: np.ndarray, classes: int) -> np.ndarray:
     return (hashes & np.uint64(classes - 1)).astype(np.int32) + 1
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counts of 64 bits, a byte for each small one."""
-    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, np.int64, -1, 8 + n) if len(raw) > 8 + n else []
-    return out
-
-
 class Block:
     def __init__(self):
         self.local, self.ids, self.held, self.lens, self.words, self.size = {}, [], [], [], [], 0

@@ -6,7 +6,8 @@ The incidence matrix of documents by shingles is blocked: by documents (up to BL
    many times is sent once with its count, so that one in a third of all documents is an entry a block.
 2. Size-derived bounds: a pair of sizes a and b links only if its overlap o is at least p (a + b) / (1 + p). So a document
    needs p of its own shingles shared; in the order of (frequency class, hash), two that link share a shingle among the
-   first a - o + 1 and b - o + 1 of them. Only these prefixes are multiplied; overlaps are then counted over whole sets.
+   first a - o + 1 and b - o + 1 of them. Only these prefixes are multiplied, which gives the pairs that can link. Their overlaps are
+   added up in blocks: the rows of up to MEMBERS partners against that of one node, and pairs below their bound are dropped.
 3. Equal sets are one node. In the product, large groups are not expanded into pairs: each node is first
    counted against the most central node (the one with the least share of shingles of its own) of the columns it is in,
    links make components, then the most central node of each component in a column is counted against the column's. What
@@ -15,11 +16,12 @@ The incidence matrix of documents by shingles is blocked: by documents (up to BL
 4. Links lie within components, so jaccard_join and jaccard_pairs count every pair of nodes of a component. A component of over
    CELL bytes of lists is dealt to parts by node, and each pair of parts is a cell of its own; overlaps of a cell add up in
    blocked products. jaccard_components and one_of_each need components only and skip this.
+Columns of over 1 / HOT of the product's entries, and sets of over 1 / HOT of the rows, are joined by broadcast, so no key that is shuffled is hot.
 
 Shingle identity is 48 of 64 hash bits within a pair; sizes are counted on 64 bits. Defined results: texts
 are lower-cased (A-Z); null, empty and blank texts have no shingle and stay alone; a text of fewer than `width` words is one
-shingle; of repeated rows each gets a row; a null id is in no minimum (a component of null ids only has a null id); an
-empty table gives an empty result; other columns are not read.
+shingle; of repeated rows each gets a row; a null id is in no minimum (a component of null ids only has a null id); very long texts are
+one set of all their shingles, held in one task's memory; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,16 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed, record_batch, rows_by_rid, settled, tidy, with_rid
+from larkspur.llm.common import HOT, checkpointed, joined_hot, packed, record_batch, removed, rows_by_rid, run_folder, settled, tidy, unpacked, with_rid
 
 WIDTH, PERCENT = 5, 75
 #: Entries and documents after which a block is closed; entries that a task adds up at a time, about.
 BLOCK, BLOCK_DOCS, PER_RANGE = 1 << 19, 60_000, 1 << 19
 REMEMBERED = 1 << 18
-#: Pairs of nodes that are broadcast at most (16 bytes each).
-BROADCAST_PAIRS = 200_000
+#: Pairs of nodes that are broadcast at most (24 bytes each); partners that are counted against one copy of a node's list; entries of a block.
+BROADCAST_PAIRS, MEMBERS, TOGETHER = 200_000, 64, 1 << 18
 #: Bytes of lists of a part of a component, about; sets and shingles of a block of the product within a cell.
 CELL, TILE, SHINGLES = 2 << 20, 512, 4096
+#: Bytes of a row group of sets: what a writing task holds.
+ROW_GROUP = 4 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -84,6 +88,31 @@ def joined48(hi: bytes, lo: bytes) -> np.ndarray:
     return np.frombuffer(hi, np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(lo, np.uint16)
 
 
+def own_packed(own: np.ndarray, sets: int) -> bytes:
+    """Ascending numbers of sets, as a count for each set if that is shorter."""
+    return b"c" + packed(np.bincount(own, minlength=sets)) if sets < 2 * len(own) else b"n" + own.astype(np.uint16).tobytes()
+
+
+def own_unpacked(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"n":
+        return np.frombuffer(raw, np.uint16, -1, 1) if len(raw) > 1 else np.zeros(0, np.uint16)
+    counts = unpacked(raw[1:])
+    return np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
+
+
+def list_packed(h: np.ndarray) -> bytes:
+    """A list's shingles, of 6 bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def list_unpacked(raw: object) -> np.ndarray:
+    """Of bytes or an Arrow buffer."""
+    few = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, :6] = few
+    return out.view("<u8").ravel()
+
+
 META = (("_ids", "array<{kind}>"), ("_ns", "binary"), ("_sets", "binary"), ("_fps", "binary"))
 ENTRIES = (("_hi", "binary"), ("_lo", "binary"), ("_own", "binary"), ("_mhi", "binary"), ("_mlo", "binary"), ("_mx", "binary"))
 #: Entries: hash (_hi, _lo) and set (_own) of what the block holds once; hash (_mhi, _mlo) and count (_mx) of what it holds
@@ -122,7 +151,7 @@ class Block:
         distinct, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
         once = counts[inverse] == 1
         several, times = distinct[counts > 1], counts[counts > 1].astype(np.uint32)
-        pending = dict(zip(("_hi", "_lo"), split48(h[~once]), strict=True), _own=own[~once].tobytes())
+        pending = dict(zip(("_hi", "_lo"), split48(h[~once]), strict=True), _own=own_packed(own[~once], len(self.hashes)))
         put(number % ranges, _ids=self.ids, _ns=np.array(self.ns, np.int64).tobytes(), _sets=np.array(self.sets, np.int32).tobytes(), _fps=b"".join(self.fps), **pending)
         edges_of = lambda x: (np.argsort(x, kind="stable"), np.searchsorted(np.sort(x), np.arange(ranges + 1)))
         where = lambda x: ((x >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint32)
@@ -131,7 +160,7 @@ class Block:
         for k in range(ranges):
             a, b = order[edges[k] : edges[k + 1]], order2[edges2[k] : edges2[k + 1]]
             if len(a) or len(b):
-                put(k, **dict(zip(("_hi", "_lo", "_mhi", "_mlo"), (*split48(h[a]), *split48(several[b])), strict=True)), _own=own[a].tobytes(), _mx=times[b].tobytes())
+                put(k, **dict(zip(("_hi", "_lo", "_mhi", "_mlo"), (*split48(h[a]), *split48(several[b])), strict=True)), _own=own_packed(own[a], len(self.hashes)), _mx=times[b].tobytes())
         return out
 
 
@@ -178,7 +207,9 @@ def incidence(docs: DataFrame, width: int, percent: int) -> DataFrame:
             at, at2 = at + len(a), at2 + len(m)
             shared = d > 1
             if shared.any() or len(m):
-                out.append(dict(zip(("_hi", "_lo", "_mhi", "_mlo"), (*split48(a[shared]), *split48(m)), strict=True)) | {"_block": r["_block"], "_own": np.frombuffer(r["_own"], np.uint16)[shared].tobytes(), "_code": frequency_class(d[shared]).tobytes(), "_mx": frequency_class(d2).tobytes()})
+                own = own_unpacked(r["_own"])
+                sets = len(r["_own"]) and (int.from_bytes(r["_own"][1:9], "little") if r["_own"][:1] == b"c" else 1 << 16)
+                out.append(dict(zip(("_hi", "_lo", "_mhi", "_mlo"), (*split48(a[shared]), *split48(m)), strict=True)) | {"_block": r["_block"], "_own": own_packed(own[shared], sets), "_code": frequency_class(d[shared]).tobytes(), "_mx": frequency_class(d2).tobytes()})
         fields = {"_block": pa.int64(), "_ids": t.schema.field("_ids").type}
         return pa.table({c: pa.array([x.get(c) for x in out], fields.get(c, pa.binary())) for c in ("_block", *(c for c, _ in meta), *(c for c, _ in entries), "_code")})
 
@@ -193,14 +224,14 @@ def incidence(docs: DataFrame, width: int, percent: int) -> DataFrame:
         pending = joined48(main["_hi"], main["_lo"])
         h = np.concatenate([pending, *(joined48(r["_hi"], r["_lo"]) for r in answers)])
         code = np.concatenate([m_code[np.searchsorted(m, pending)] if len(pending) else m_code[:0], *(np.frombuffer(r["_code"], np.uint8) for r in answers)])
-        own = np.concatenate([np.frombuffer(main["_own"], np.uint16), *(np.frombuffer(r["_own"], np.uint16) for r in answers)])
+        own = np.concatenate([own_unpacked(main["_own"]), *(own_unpacked(r["_own"]) for r in answers)])
         order = np.lexsort((h, code, own))
         h, own = h[order], own[order]
         ns, sets = np.frombuffer(main["_ns"], np.int64), np.frombuffer(main["_sets"], np.int32)
         lists = []
         for n, s in zip(ns.tolist(), sets.tolist(), strict=True):
             i, j = np.searchsorted(own, [s, s + 1]) if s >= 0 else (0, 0)
-            lists.append(h[i:j].tobytes() if j > i and 100 * (j - i) >= percent * n else None)
+            lists.append(list_packed(h[i:j]) if j > i and 100 * (j - i) >= percent * n else None)
         return pa.table({"_id": pa.array(main["_ids"], t.schema.field("_ids").type.value_type), "_n": pa.array(ns, pa.int64()), "_fp": pa.array([main["_fps"][16 * i : 16 * i + 16] for i in range(len(ns))], pa.binary()), "_list": pa.array(lists, pa.binary())})
 
     schema = lambda cs: ", ".join(f"{c} {t}" for c, t in cs)
@@ -221,7 +252,7 @@ def columns(nodes: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             parts = [[], [], [], [], []]
             for node, n, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                h = np.frombuffer(raw, np.uint64)
+                h = list_unpacked(raw)
                 own = n - len(h)
                 take = max(0, n - -(-percent * n // 100) + 1 - own)
                 h = h[:take].astype(np.int64)
@@ -233,26 +264,54 @@ def columns(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (_a, _b) those whose overlap, counted over whole sets, reaches the bound."""
+    """Of the pairs (_a, _b) those whose overlap, added up over whole sets, reaches the bound.
+
+    The list of each _b goes to a cell for every MEMBERS of its partners, and stands there before theirs; so each partner's list is moved
+    once, and no cell is large. A cell is streamed: a block of partners is counted against the list at a time.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a_, b_, a_n, b_n, a_list, b_list = (b.column(i).to_pylist() for i in range(6))
-            keep = []
-            for i, (x, y) in enumerate(zip(a_list, b_list, strict=True)):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
-                o = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * o >= percent * (a_n[i] + b_n[i] - o):
-                    keep.append(i)
-            yield record_batch(_a=pa.array([a_[i] for i in keep], pa.int64()), _b=pa.array([b_[i] for i in keep], pa.int64()))
+        hub, row = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found, waiting, size = ([], []), [], 0
+
+            def flush() -> None:
+                nonlocal waiting, size
+                if not waiting:
+                    return
+                flat = np.concatenate([m for _, _, m in waiting])
+                at = np.searchsorted(row, flat)
+                hit = np.concatenate([[0], np.cumsum(row[np.minimum(at, len(row) - 1)] == flat)])  # noqa: B023
+                ends = np.cumsum([0] + [len(m) for _, _, m in waiting])
+                for (a, n, _), o in zip(waiting, np.diff(hit[ends]).tolist(), strict=True):
+                    if 100 * o >= percent * (n + hub[1] - o):  # noqa: B023
+                        found[0].append(a)  # noqa: B023
+                        found[1].append(hub[0])  # noqa: B023
+                waiting, size = [], 0
+
+            for b, a, n, raw in zip(*(batch.column(i) for i in range(4)), strict=True):
+                raw = list_unpacked(raw.as_py())
+                if a.as_py() is None:
+                    flush()
+                    hub, row = (b.as_py(), n.as_py()), np.sort(raw)
+                else:
+                    waiting.append((a.as_py(), n.as_py(), raw))
+                    size += len(raw)
+                    if size >= TOGETHER:
+                        flush()
+            flush()
+            yield record_batch(_a=pa.array(found[0], pa.int64()), _b=pa.array(found[1], pa.int64()))
 
     pairs = checkpointed(pairs.select("_a", "_b"))
-    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    sizes, total = checkpointed(pairs.groupBy("_b").agg(F.count(F.lit(1)).alias("_k"))), pairs.count()
+    placed = joined_hot(pairs, sizes, ["_b"], "_k", total).select("_a", "_b", F.pmod(F.xxhash64("_a"), F.ceil(F.col("_k") / MEMBERS)).alias("_salt"))
+    cells = placed.select("_b", "_salt").distinct()
     # Lists meet the pairs where they lie if the pairs are few enough to broadcast; then only the lists of pairs are shuffled.
-    asked = F.broadcast(pairs) if few else pairs
-    side = lambda s: nodes.select(F.col("_node").alias(f"_{s}"), F.col("_n").alias(f"_n{s}"), F.col("_list").alias(f"_list{s}")).join(asked, f"_{s}")
-    rows = side("a").join(side("b"), ["_a", "_b"]).select("_a", "_b", "_na", "_nb", "_lista", "_listb")
-    return rows.mapInArrow(count, "_a long, _b long")
+    asked = F.broadcast if total <= BROADCAST_PAIRS else lambda x: x
+    side = lambda x, s: nodes.select(F.col("_node").alias(f"_{s}"), "_n", "_list").join(asked(x), f"_{s}")
+    rows = side(placed, "a").select("_b", "_a", "_n", "_list", "_salt").unionByName(side(cells, "b").select("_b", F.lit(None).cast("long").alias("_a"), "_n", "_list", "_salt"))
+    rows = rows.repartition("_b", "_salt").sortWithinPartitions("_b", "_salt", F.col("_a").asc_nulls_first())
+    return rows.select("_b", "_a", "_n", "_list").mapInArrow(count, "_a long, _b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,9 +336,18 @@ def node_components(nodes: DataFrame, percent: int) -> DataFrame:
     product = columns(nodes, percent)  # made anew for each of its uses: it would take several times the room of the nodes
     central = F.struct((F.col("_own") / F.col("_n")).alias("share"), F.col("_node").alias("node"), F.col("_n").alias("n"))
     in_bounds = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    # The most central node of each column, and for each node that with which it shares most columns.
-    hubs = product.groupBy("_h").agg(F.min(central).alias("_hub"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
-    met = product.join(hubs, "_h").where((F.col("_node") != F.col("_hub.node")) & in_bounds(F.col("_n"), F.col("_hub.n")))
+    # The most central node of each column.
+    hubs = checkpointed(product.groupBy("_h").agg(F.min(central).alias("_hub"), F.count(F.lit(1)).alias("_k")).where("_k > 1"))
+    total = hubs.agg(F.sum("_k")).first()[0] or 0
+    often = F.broadcast(checkpointed(hubs.where(F.col("_k") * HOT > total).select("_h")))  # fewer than HOT
+
+    def by_column(big: DataFrame, small: DataFrame) -> DataFrame:
+        """big joined with small, which has a row for each column."""
+        hot = big.join(F.broadcast(small.join(often, "_h", "left_semi")), "_h")
+        return hot.unionByName(big.join(often, "_h", "left_anti").join(small.join(often, "_h", "left_anti"), "_h"))
+
+    # For each node the hub with which it shares most columns.
+    met = joined_hot(product, hubs, ["_h"], "_k", total).where((F.col("_node") != F.col("_hub.node")) & in_bounds(F.col("_n"), F.col("_hub.n")))
     best = met.groupBy("_node", F.col("_hub.node").alias("_to")).agg(F.count(F.lit(1)).alias("_k")).groupBy("_node").agg(F.max(F.struct("_k", F.negative("_to").alias("_minus"))).alias("_best"))
     edges = checkpointed(linked(best.select(F.col("_node").alias("_a"), F.negative("_best._minus").alias("_b")), nodes, percent))
     comps = components(edges)
@@ -288,13 +356,13 @@ def node_components(nodes: DataFrame, percent: int) -> DataFrame:
         """What is left of the product: columns with more than one component."""
         labelled = product.join(comps, "_node", "left").withColumn("_comp", F.coalesce("_comp", "_node"))
         mixed = labelled.groupBy("_h").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo != _hi").select("_h")
-        return labelled.join(mixed, "_h", "left_semi")
+        return by_column(labelled, mixed)
 
     # The most central node of each component in a column against that of the column.
     left = checkpointed(open_columns(comps))
     first = left.groupBy("_h", "_comp").agg(F.min(central).alias("_own_hub"))
     hubs = first.groupBy("_h").agg(F.min("_own_hub").alias("_hub"))
-    pairs = first.join(hubs, "_h").where((F.col("_own_hub.node") != F.col("_hub.node")) & in_bounds(F.col("_own_hub.n"), F.col("_hub.n"))).select(F.greatest("_own_hub.node", "_hub.node").alias("_a"), F.least("_own_hub.node", "_hub.node").alias("_b")).distinct()
+    pairs = by_column(first, hubs).where((F.col("_own_hub.node") != F.col("_hub.node")) & in_bounds(F.col("_own_hub.n"), F.col("_hub.n"))).select(F.col("_own_hub.node").alias("_a"), F.col("_hub.node").alias("_b")).distinct()
     edges = checkpointed(edges.unionByName(linked(pairs, nodes, percent)))
     comps = components(edges)
     # All pairs of different components that are left within the bounds.
@@ -353,7 +421,7 @@ def links_within(nodes: DataFrame, weights: DataFrame, comps: DataFrame, percent
             alone = lo[cell[0]] == hi[cell[0]]
             mine, others = (cell, cell) if alone else (cell[part[cell] == lo[cell[0]]], cell[part[cell] == hi[cell[0]]])
             tiles = lambda x: [x[i : i + tile] for i in range(0, len(x), tile)]
-            read = lambda x: [np.frombuffer(lists[int(i)].as_py(), np.uint64) for i in x]
+            read = lambda x: [list_unpacked(lists[int(i)].as_py()) for i in x]
             for i, a in enumerate(tiles(mine)):
                 a_lists = read(a)
                 for j, b in enumerate(tiles(others)):
@@ -383,24 +451,32 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.id_col, self.percent, self.spark = id_col, percent, docs.sparkSession
-        self.rows = checkpointed(incidence(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width, percent))
+        folder = run_folder(self.spark, "incidence")
+        sets = incidence(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), width, percent)
+        sets.write.option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", "false").parquet(folder)
+        sets = self.spark.read.schema(sets.schema).parquet(folder)
         tidy(self.spark)
-        lists = self.rows.where("_list is not null").select("_fp", "_n", "_list").dropDuplicates(["_fp"])
+        self.rows = checkpointed(sets.drop("_list"))
+        lists = sets.where("_list is not null").select("_fp", "_n", "_list").dropDuplicates(["_fp"])
         self.nodes = checkpointed(lists.withColumn("_node", F.monotonically_increasing_id()))
+        removed(self.spark, folder)
+        tidy(self.spark)
         self.comps = node_components(self.nodes, percent)
         self.sets = self.rows.where("_n > 0").groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_k"))
 
     def found(self) -> DataFrame:
-        """_fp and _first of the sets that have copies or links: only these get an id from elsewhere."""
+        """_fp, _first and _k (rows) of the sets that have copies or links: only these get an id from elsewhere."""
         nodes, comps, sets = self.nodes, self.comps, self.sets
         placed = sets.join(nodes.select("_fp", "_node").join(comps, "_node"), "_fp", "left").where("_k > 1 or _comp is not null")
         least = placed.where("_comp is not null").groupBy("_comp").agg(F.min("_least").alias("_of_comp"))
         roots = nodes.select(F.col("_node").alias("_comp"), F.col("_fp").alias("_root"))
         least = least.join(roots, "_comp").join(sets.select(F.col("_fp").alias("_root"), F.col("_least").alias("_of_root")), "_root").select("_comp", "_root", F.least("_of_comp", "_of_root").alias("_first"))
-        return checkpointed(placed.join(least.drop("_root"), "_comp", "left").select("_fp", F.coalesce("_first", "_least").alias("_first")).unionByName(least.select(F.col("_root").alias("_fp"), "_first")).groupBy("_fp").agg(F.min("_first").alias("_first")))
+        return checkpointed(placed.join(least.drop("_root"), "_comp", "left").select("_fp", F.coalesce("_first", "_least").alias("_first"), "_k").unionByName(least.select(F.col("_root").alias("_fp"), "_first", F.lit(1).cast("long").alias("_k"))).groupBy("_fp").agg(F.min("_first").alias("_first"), F.max("_k").alias("_k")))
 
     def labelled(self, found: DataFrame, *more: Column) -> DataFrame:
-        out = self.rows.drop("_list").join(found, "_fp", "left")
+        rows = self.rows
+        some = joined_hot(rows.where("_n > 0"), found, ["_fp"], "_k", rows.count(), "left")
+        out = some.unionByName(rows.where("_n = 0"), allowMissingColumns=True)
         return out.select(F.col("_id").alias(self.id_col), F.col("_n").alias("n_shingles"), F.coalesce("_first", "_id").alias("component_id"), F.hex("_fp").alias("set_id"), *more)
 
     def links(self, pairs: bool) -> DataFrame:
@@ -420,8 +496,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The columns of jaccard_components and n_links: the other rows that the row links with, rows of equal sets included."""
     join = Join(docs, id_col, text_col, width, percent)
     links = join.links(False).join(join.nodes.select("_node", "_fp"), "_node").select("_fp", "_links")
-    counted = join.found().join(join.sets.select("_fp", "_k"), "_fp").join(links, "_fp", "left")
-    counted = checkpointed(counted.select("_fp", "_first", (F.col("_k") - 1 + F.coalesce("_links", F.lit(0))).alias("_links")))
+    counted = join.found().join(links, "_fp", "left")
+    counted = checkpointed(counted.select("_fp", "_first", "_k", (F.col("_k") - 1 + F.coalesce("_links", F.lit(0))).alias("_links")))
     return join.labelled(counted, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
 
