@@ -7,8 +7,8 @@ document's fingerprint. Rows with equal fingerprint and length are compared chun
 would stay; rows that differ from it form further groups until none differs, so a collision never drops a text.
 
 Defined results: a null text is the empty text; empty texts equal each other; of rows with the same id and equal
-texts one stays; a null id is less than any other; an empty table gives an empty result. Other columns, whatever
-their names, are not read.
+texts one stays; a null id is less than any other; a text of over HUGE bytes is hashed by several tasks; an empty table gives an empty
+result. Other columns, whatever their names, are not read by exact_dedup and kept by drop_copies.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ streamed once through one task that holds only the two accumulators of a slot. S
 product against the non-zero weights, at most 2**bits of them, broadcast.
 
 Defined results: null and empty texts have no feature and get the score of the bias; rows without a label or id are
-scored but never train; repeated rows score alike; without labels every score is 0.5; other columns are not read.
+scored but never train; repeated rows score alike; without labels every score is 0.5; very long texts are taken whole; an empty table
+gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from larkspur.llm.queries import oracle_sql  # noqa: E402
 from tests.llm.test_jaccard_join import brute as components  # noqa: E402
 from tests.llm.test_mixing import size, water_fill  # noqa: E402
 
@@ -27,9 +29,9 @@ def test_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     first, second, third, fourth, last = staged(spark, docs)
     columns = docs.columns
-    from larkspur.llm.quality_rules import quality_rules
-
-    kept = {r.doc_id for r in quality_rules(docs).where("kept").collect()}
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    kept = {i for (i,) in base.execute(f"SELECT doc_id FROM ({oracle_sql()['op9_quality_rules']}) WHERE kept").fetchall()}
     assert {r.doc_id for r in first} == kept and len(first) == len(kept) and 0.8 * docs.count() < len(kept) + docs.count() * 0.2
     assert all(list(r.asDict()) == columns for stage in (first, second, third, fourth) for r in stage)
     best = {}
