@@ -1,4 +1,16 @@
-"""From documents to token ids: quality rules, exact dedup, n-gram Jaccard join, mixing to target weights, byte-level BPE."""
+"""From documents to token ids: quality rules, exact dedup, n-gram Jaccard join, mixing to target weights, byte-level BPE.
+
+Each stage takes all that its predecessor kept. Defined results, for the stages as for the whole:
+- a null or empty text fails the rules, so it goes in the first stage; a stage that is given one keeps it in exact dedup (one of all), keeps
+  it in the Jaccard join (no shingle links it), takes it once in mixing (size 0), and encodes it to no ids;
+- a null id is less than any other in exact dedup and in the Jaccard join; rows with null ids are told apart by their place;
+- null languages and sources are groups of their own in the rules, and a null source is the last one in mixing;
+- of repeated rows, and of rows with equal texts and ids, exact dedup keeps one; mixing may take a row twice;
+- very long texts are judged, compared, counted and encoded whole;
+- an empty table gives an empty result in every stage;
+- other columns stay, whatever their names; where the last stage adds ids and n_tokens, columns of these names get _ behind theirs.
+What run() writes between stages lies in a folder of its own in the shared folder, and goes when the session's JVM ends.
+"""
 
 from __future__ import annotations
 
