@@ -18,14 +18,15 @@ BLOCK, CHARACTERS = 2_000, 2_000_000
 class Batch:
     """frame: query_id, q (stripped), tokens and optionally vector; blank queries are left out."""
 
-    def __init__(self, frame: DataFrame, text: str | None = None):
-        self.frame, self.text = frame, text
+    def __init__(self, frame: DataFrame, text: str | None = None, n: int | None = None):
+        """text: of the only query; n: queries at most."""
+        self.frame, self.text, self.n = frame, text, n
 
     @staticmethod
     def one(spark: SparkSession, query: str, vector: list[float] | None = None) -> Batch:
         q = query.strip()
         frame = spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(q).alias("q"), (F.array(*map(F.lit, q.lower().split())) if q else F.array()).cast("array<string>").alias("tokens"), (F.from_json(F.lit(json.dumps([float(x) for x in vector])), "array<double>") if vector is not None else F.lit(None).cast("array<double>")).alias("vector"))
-        return Batch(frame.where("q <> ''"), q)
+        return Batch(frame.where("q <> ''"), q, 1)
 
     @staticmethod
     def many(queries: DataFrame, block: int = BLOCK, characters: int = CHARACTERS) -> Iterator[Batch]:
@@ -37,7 +38,7 @@ class Batch:
         blocks = max(1, -(-n // block), -(-(size or 0) // characters))
         short = frame.where(~long) if alone else frame
         for k in range(blocks):
-            yield Batch(short if blocks == 1 else short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k))
+            yield Batch(short if blocks == 1 else short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k), n=n)
         for query in sorted(set(alone)):
             yield Batch(frame.where(long & (F.col("query_id") == query)))
 

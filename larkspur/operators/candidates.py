@@ -18,6 +18,8 @@ from larkspur.operators.batch import Batch, any_of
 #: Candidates of a source, of a lower rung, and the rungs' thresholds.
 CANDIDATES, FALLBACK = 50, 200
 RUNG_1, RUNG_2, RUNG_3, LEAST_FUZZY = 0.3, 0.1, 0.35, 0.01
+#: Rows of values by query that are broadcast at most (some 150 bytes each).
+BROADCAST_VALUES = 200_000
 FIELDS = ("product_name", "brand", "category", "tags")
 
 
@@ -121,35 +123,36 @@ def query_values(index: DataFrame, batch: Batch) -> DataFrame:
     return found.withColumn("parts", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("parts", i), F.lit(0.0))))
 
 
-def fuzzy_scored(products: DataFrame, batch: Batch, index: DataFrame | None = None) -> DataFrame:
+def fuzzy_scored(products: DataFrame, batch: Batch, index: DataFrame | None = None, n_values: int | None = None) -> DataFrame:
     """query_id, id, rung and fuzzy_score of the candidates of every rung; those of lower rungs are limited before scoring.
 
-    Products are found by their values that reach a rung. Only candidates then meet the scores of all their values.
+    Products are found by their values that reach a rung. Only candidates then meet the scores of all their values, by one join a field with
+    the same table; it is broadcast if the number of distinct values (n_values) says that it is small enough.
     """
+    hint = F.broadcast if n_values is not None and batch.n is not None and batch.n * n_values <= BROADCAST_VALUES else lambda x: x
     values = query_values(trigram_index(products) if index is None else index, batch)
     values = values.withColumn("value", F.concat_ws(":", "field", "value")).drop("field")
     rungs = ("rung_1", "rung_2", "rung_3")
     reached = values.where(F.col("rung_1") | F.col("rung_2") | F.col("rung_3")).select("query_id", "value", *rungs)
     keyed = lambda f: F.concat(F.lit(f"{f}:"), F.coalesce(F.col(f), F.lit("")))
     pairs = products.select("id", F.explode(F.array(*map(keyed, FIELDS[:3]))).alias("value"))
-    met = pairs.join(reached, "value").groupBy("query_id", "id").agg(*(F.max(r).alias(r) for r in rungs))
+    met = pairs.join(hint(reached), "value").groupBy("query_id", "id").agg(*(F.max(r).alias(r) for r in rungs))
     each = met.select("query_id", "id", F.explode(F.filter(F.array(*(F.when(F.col(r), F.lit(i + 1)) for i, r in enumerate(rungs))), lambda r: r.isNotNull())).alias("rung"))
     nth = F.row_number().over(Window.partitionBy("query_id", "rung").orderBy("id"))
     each = each.where("rung = 1").unionByName(each.where("rung > 1").withColumn("_nth", nth).where(F.col("_nth") <= FALLBACK).drop("_nth"))
     found = products.select("id", *(keyed(f).alias(f"_{f}") for f in FIELDS)).join(each, "id")
-    # One join a field; Spark broadcasts the values when they turn out small.
+    known = values.select("query_id", "value", F.struct("parts", "full").alias("_own"))
     for f in FIELDS:
-        own = values.where(F.col("value").startswith(f"{f}:"))
-        found = found.join(own.select("query_id", F.col("value").alias(f"_{f}"), F.col("parts").alias(f"_parts_{f}"), *([F.col("full")] if f == FIELDS[0] else [])), ["query_id", f"_{f}"], "left")
+        found = found.join(hint(known.select("query_id", F.col("value").alias(f"_{f}"), F.col("_own").alias(f"_own_{f}"))), ["query_id", f"_{f}"], "left")
     found = found.join(F.broadcast(batch.frame.select("query_id", F.size("tokens").alias("n"))), "query_id")
-    at = lambda f, i: F.coalesce(F.get(F.col(f"_parts_{f}"), i), F.lit(0.0))
+    at = lambda f, i: F.coalesce(F.get(F.col(f"_own_{f}.parts"), i), F.lit(0.0))
     token_scores = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: at("product_name", i) * 0.50 + at("brand", i) * 0.20 + at("category", i) * 0.15 + at("tags", i) * 0.15)
-    return found.select("query_id", "id", "rung", scores.fuzzy_score(token_scores, F.coalesce("full", F.lit(0.0))).alias("fuzzy_score"))
+    return found.select("query_id", "id", "rung", scores.fuzzy_score(token_scores, F.coalesce("_own_product_name.full", F.lit(0.0))).alias("fuzzy_score"))
 
 
-def fuzzy_candidates(products: DataFrame, batch: Batch, limit: int = CANDIDATES, min_similarity: float = LEAST_FUZZY, index: DataFrame | None = None) -> DataFrame:
+def fuzzy_candidates(products: DataFrame, batch: Batch, limit: int = CANDIDATES, min_similarity: float = LEAST_FUZZY, index: DataFrame | None = None, n_values: int | None = None) -> DataFrame:
     """query_id, id, fuzzy_score and rung: the first rung with a row at or above min_similarity."""
-    scored = fuzzy_scored(products, batch, index).where(F.col("fuzzy_score") >= min_similarity)
+    scored = fuzzy_scored(products, batch, index, n_values).where(F.col("fuzzy_score") >= min_similarity)
     # Each rung is cut to the limit where its rows lie, before the first rung is looked for among the few that are left.
     nth = F.row_number().over(Window.partitionBy("query_id", "rung").orderBy(F.col("fuzzy_score").desc(), F.col("id").asc()))
     few = scored.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_nth")

@@ -19,7 +19,7 @@ class Catalogue:
     """Products, their vectors and the trigram index of their distinct values; an embedder turns query texts into vectors."""
 
     def __init__(self, products: DataFrame, embeddings: DataFrame | None = None, embedder: Embedder | None = None):
-        self.products, self.embeddings, self.embedder = products, embeddings, embedder
+        self.products, self.embeddings, self.embedder, self.n_values = products, embeddings, embedder, None
         self.spark, self.index = products.sparkSession, trigram_index(products)
         self.vector = lru_cache(128)(lambda q: embedder([q])[0].tolist()) if embedder else None
 
@@ -27,6 +27,7 @@ class Catalogue:
         """Kept in memory between searches, products over all cores."""
         self.products, self.index = self.products.repartition("id").cache(), self.index.cache()
         self.embeddings = self.embeddings.cache() if self.embeddings is not None else None
+        self.n_values = self.index.select("field", "value").distinct().count()
         return self
 
     def batch(self, query: str, vector: list[float] | None) -> Batch:
@@ -59,16 +60,16 @@ class Catalogue:
     def search(self, query: str, limit: int = 20, candidate_limit: int = CANDIDATES, min_final_score: float = 0.10, vector: list[float] | None = None) -> DataFrame:
         """Ranked results of one query; none for a blank one."""
         batch = Batch.one(self.spark, query, vector if vector is not None else self._vector(query))
-        return ranked(self.products, self.embeddings, batch, limit, candidate_limit, min_final_score, self.index).drop("query_id")
+        return ranked(self.products, self.embeddings, batch, limit, candidate_limit, min_final_score, self.index, self.n_values).drop("query_id")
 
     def search_many(self, queries: DataFrame, limit: int = 20, candidate_limit: int = CANDIDATES, min_final_score: float = 0.10) -> DataFrame:
         """queries: query_id, q and optionally vector; the embedder, if there is one, makes those that are not given. As search, with query_id."""
-        found = [ranked(self.products, self.embeddings, b, limit, candidate_limit, min_final_score, self.index) for b in Batch.many(self.with_vectors(queries))]
+        found = [ranked(self.products, self.embeddings, b, limit, candidate_limit, min_final_score, self.index, self.n_values) for b in Batch.many(self.with_vectors(queries))]
         return reduce(DataFrame.unionByName, found)
 
     def fuzzy_search(self, query: str, limit: int = 50, min_similarity: float = LEAST_FUZZY) -> DataFrame:
         batch = Batch.one(self.spark, query)
-        found = fuzzy_candidates(self.products, batch, limit, min_similarity, self.index)
+        found = fuzzy_candidates(self.products, batch, limit, min_similarity, self.index, self.n_values)
         return found.drop("query_id").join(self.products, "id").orderBy(F.col("fuzzy_score").desc(), "id")
 
     def semantic_search(self, query: str = "", limit: int = 20, min_similarity: float = 0.0, vector: list[float] | None = None) -> DataFrame:
