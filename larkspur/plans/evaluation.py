@@ -49,6 +49,7 @@ def quality_breakdown(cases: DataFrame) -> DataFrame:
 
 
 def verdict(ms: Column) -> Column:
+    """The bands of a latency."""
     return F.when(ms < 100, "Excellent").when(ms < 500, "Good").when(ms < 1000, "Acceptable").otherwise("Slow")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The header of a CSV and the names of a product's columns.
 CSV_COLUMNS = {"Product Name": "product_name", "Description": "description", "Brand": "brand", "Category": "category", "Tags": "tags", "Price": "price", "Image": "image"}
 PRODUCT_COLUMNS = ("id", "product_name", "description", "brand", "category", "tags", "price", "image")
 PRODUCTS = T.StructType([T.StructField("id", T.LongType(), False), *(T.StructField(c, T.StringType(), False) for c in PRODUCT_COLUMNS[1:6]), T.StructField("price", T.DecimalType(10, 2), False), T.StructField("image", T.StringType(), False)])
-#: Longest values that the catalogue takes.
+#: The longest that the catalogue takes.
 MOST_CHARACTERS = {"product_name": 255, "brand": 100, "category": 100}
 
 

@@ -42,6 +42,26 @@ def test_ingest(spark, csv, tmp_path):
     assert ingest.ingest_csv(spark, csv, place)["new"] == 0 and spark.read.parquet(place).count() == 3
 
 
+def test_many_files_and_bad_catalogues(spark, tmp_path, monkeypatch):
+    """Files are numbered on from one to the next, ids without gaps; a folder without files is empty, one that is no catalogue raises."""
+    monkeypatch.setattr(ingest, "BLOCK", 4)
+    folder, place = tmp_path / "csv", tmp_path / "place"
+    folder.mkdir()
+    place.mkdir()
+    for k in range(3):
+        (folder / f"{k}.csv").write_text(HEAD + "".join(f'"Item {k}\n{i}",d,b,c,t,1.5,i\n' for i in range(5 + k)))
+    rows = ingest.read_csv(spark, str(folder)).collect()
+    assert sorted(r.row_num for r in rows) == list(range(2, 20))
+    for k in range(3):
+        own = [r.row_num for r in sorted(rows, key=lambda r: r.product_name) if r.product_name.startswith(f"Item {k}")]
+        assert own == list(range(own[0], own[0] + 5 + k))
+    assert ingest.ingest_csv(spark, str(folder), str(place))["new"] == 18
+    assert sorted(r.id for r in spark.read.parquet(str(place)).collect()) == list(range(1, 19))
+    spark.range(3).withColumnRenamed("id", "other").write.parquet(str(tmp_path / "odd"))
+    with pytest.raises(ValueError, match="product_name"):
+        ingest.ingest_csv(spark, str(folder), str(tmp_path / "odd"))
+
+
 def test_headers_and_paths(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Product Name,Brand\nx,y\n")
     with pytest.raises(ValueError, match="Description"):
