@@ -2,13 +2,14 @@
 
 Everything is DataFrame and SQL expressions. Rules (host and path, as `org/` or `example.org/es/`) label urls; a bounded
 sample of the labelled (SAMPLE, those of least hash) trains TREES trees of DEPTH levels on length, depth, digit ratio,
-entropy, parameter count, labels of the host and the block rate of the host's suffix, counted over all labelled urls. Features are cut at sample quantiles
+entropy, parameter count, labels of the host and the block rates of its last label and of its last two, counted over all labelled urls. A url that
+trains sees the rates of the other half of the labelled urls (halves by hash), so its own label is not among its features. Features are cut at sample quantiles
 and equal rows merged with their counts; a level of a tree is one aggregation to (node, feature, cut), so only
 sums of that bounded size reach the driver. The finished trees are CASE expressions in the scoring projection.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and gets the trees'
-verdict on its features; without labels the verdict is allow; repeated rows get the same verdict; an empty table gives
-an empty result; other columns are not read.
+verdict on its features; without labels the verdict is allow; repeated rows get the same verdict; very long urls are measured whole; an
+empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ascii_lower, checkpointed
+from larkspur.llm.common import ascii_lower, checkpointed, joined_hot
 
 SAMPLE = 100_000
-CUTS, TREES, DEPTH, RATE, L2 = 16, 8, 2, 0.4, 1.0
-#: Suffixes with statistics that are broadcast at most (about 3 MB); more are joined by a shuffle.
+CUTS, TREES, DEPTH, RATE, L2 = 16, 12, 3, 0.3, 1.0
+#: Suffixes with statistics that are broadcast at most (about 3 MB); of more, all but those of many urls are joined by a shuffle.
 BROADCAST_SUFFIXES = 50_000
-FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "labels", "suffix_rate")
+FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "labels", "suffix_rate", "domain_rate")
+#: Rate: the end of the host that it belongs to.
+ENDS = {"suffix_rate": r"[^.]*$", "domain_rate": r"([^.]*\.)?[^.]*$"}
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -128,19 +131,39 @@ def split(tree: dict, node: int, by: dict[str, list]) -> None:
         tree["values"][2 * node], tree["values"][2 * node + 1] = RATE * left_g / (left_h + L2), RATE * (g - left_g) / (h - left_h + L2)
 
 
+def end_counts(rows: DataFrame, end: str) -> DataFrame:
+    """_n (rows), and of each half of the labelled rows the blocked (_block) and all (_all), for each end of a host."""
+    of = lambda half, what: F.sum(F.when(F.col("_half") == half, what).otherwise(0))
+    counts = (c for h in (0, 1) for c in (of(h, F.coalesce("label", F.lit(0))).alias(f"_block{h}"), of(h, F.col("label").isNotNull().cast("int")).alias(f"_all{h}")))
+    return rows.groupBy(end).agg(F.count(F.lit(1)).alias("_n"), *counts)
+
+
+def block_rate(*halves: int) -> Column:
+    """Of the labelled rows of the halves, as if one more were blocked and one more allowed."""
+    both = lambda c: reduce(lambda a, b: a + b, (F.col(f"{c}{h}") for h in halves))
+    return (both("_block") + 1) / (both("_all") + 2)
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """id, host, path, rule, verdict (allow or block) and block_score (the trees' probability of block) for each row."""
     url = F.coalesce(F.col("_url"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     host, path = parts(url)
     rows = rows.withColumn("host", host).withColumn("path", path).withColumn("_fit", fitting(rules, F.col("host"), F.col("path")))
-    rows = rows.withColumns(features(url, F.col("host"), F.col("path"))).withColumn("_suffix", F.regexp_extract("host", r"[^.]*$", 0)).withColumn("_hash", F.xxhash64(url)).drop("_url")
-    labelled = rows.where("_fit is not null").withColumn("label", (F.col("_fit.verdict") == "block").cast("int"))
-    known = checkpointed(labelled.orderBy("_hash", "host", "path").limit(sample).select("_suffix", *FEATURES[:-1], "label"))
-    stats = checkpointed(labelled.groupBy("_suffix").agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate")))
-    stats = F.broadcast(stats) if stats.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES else stats
-    model = boost(known.join(stats, "_suffix"))
-    all_rows = rows.join(stats, "_suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.5)))
+    rows = rows.withColumns(features(url, F.col("host"), F.col("path"))).withColumns({f"_{k}": F.regexp_extract("host", v, 0) for k, v in ENDS.items()})
+    rows = rows.withColumn("_hash", F.xxhash64(url)).withColumn("_half", F.pmod("_hash", F.lit(2))).drop("_url")
+    rows = rows.withColumn("label", F.when(F.col("_fit").isNotNull(), (F.col("_fit.verdict") == "block").cast("int")))
+    known = checkpointed(rows.where("label is not null").orderBy("_hash", "host", "path").limit(sample).select(*(f"_{k}" for k in ENDS), "_half", *FEATURES[: -len(ENDS)], "label"))
+    n_rows, all_rows = rows.count(), rows
+    for rate in ENDS:
+        stats = checkpointed(end_counts(rows, f"_{rate}"))
+        few = stats.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES
+        whole = stats.select(f"_{rate}", "_n", block_rate(0, 1).alias(rate))
+        all_rows = all_rows.join(F.broadcast(whole), f"_{rate}") if few else joined_hot(all_rows, whole, [f"_{rate}"], "_n", n_rows)
+        all_rows = all_rows.drop("_n")
+        other = F.when(F.col("_half") == 0, block_rate(1)).otherwise(block_rate(0))
+        known = known.join(F.broadcast(stats) if few else stats, f"_{rate}").withColumn(rate, other).select(*known.columns, rate)
+    model = boost(known)
     score = 1 / (1 + F.exp(-model.margin({f: F.col(f) for f in FEATURES})))
     verdict = F.coalesce(F.col("_fit.verdict"), F.when(score > threshold, "block").otherwise("allow"))
     return all_rows.select(F.col("_id").alias(id_col), "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"), score.alias("block_score"))
