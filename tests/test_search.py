@@ -5,8 +5,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import has
 from larkspur.operators.batch import Batch
-from larkspur.operators.candidates import fuzzy_candidates, fuzzy_scored, semantic_candidates, similarities
+from larkspur.operators.candidates import asked_parts, distinct_values, fuzzy_candidates, fuzzy_scored, semantic_candidates, similarities, values_with
 from larkspur.operators.embedding import hashed_trigrams
 from larkspur.plans.search import Catalogue
 from larkspur.sources.schema import PRODUCTS
@@ -187,3 +188,15 @@ def test_plans(spark, catalogue, sf):
     assert "WindowGroupLimit" in many and "CartesianProduct" not in many
     # Only parts with wildcards are compared with all distinct values.
     assert many.count("BroadcastNestedLoopJoin") == many.count("BroadcastNestedLoopJoin BuildRight, Inner, value") == 2
+
+
+def test_wildcards_in_any_case(spark):
+    """As ILIKE of the values as given; values and patterns are lower-cased once each, not again for each pair."""
+    names = ["ABC_d", "abc%D", "aXc", "A\\c", "\u0130stanbul \u00c9", "stra\u00dfe", "\u039f\u0394\u039f\u03a3", None, ""]
+    parts = ["B_", "C\\_D", "c\\%d", "A\\C", "\u0130S%L \u00c9", "%\u03a3", "A%C", "\u00e9%", "%", "_"]
+    values = distinct_values(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, brand string"), ("brand",))
+    found = values_with(values, asked_parts(spark.createDataFrame([(p,) for p in parts], "q string"), "q"))
+    assert "lower(value" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.q, r.value) for r in found.collect()}
+    rows = spark.createDataFrame([(p, n) for p in parts for n in names], "q string, n string")
+    assert got == {(r.q, r.v) for r in rows.where(has(F.col("n"), F.col("q"))).select("q", F.lower("n").alias("v")).collect()} and len(got) > 15
