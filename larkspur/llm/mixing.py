@@ -7,7 +7,8 @@ are w = min(most, exp(l * size / mean size)); l solves the convex dual, found by
 before the first step, so a step costs the same for hot sources. Steps that leave the interval of the solution halve it, and from the
 NEWTON-th on all do, so the interval is down to rounding within some 60 more; a source that is not solved then raises RuntimeError.
 Copies: rates are rounded within blocks of a source of about BLOCK documents, the largest first, each rounding
-error handed on to the next document; a block's error is at most half of one of its small documents.
+error handed on to the next document; a block's error is at most half of one of its small documents. Blocks and their order go by id and text,
+not by where a row lies, so a rerun over other partitions takes the same; rows of the same id and text share a block.
 
 Defined results: null and empty texts have size 0 and take 0 words; a source of size 0 has target 0; repeated rows
 are documents of their own; nulls in the id are kept; very long texts count whole, and are rounded like others; an empty table gives an
@@ -98,7 +99,7 @@ def rounded(sizes: np.ndarray, rates: np.ndarray, most: int) -> np.ndarray:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """A row for each row of docs: _rid, _id, _size, _source_size, _target, _rate, _copies."""
     rows = with_rid(settled(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("_source")))
-    sized = checkpointed(rows.select("_rid", "_id", "_source", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size")))
+    sized = checkpointed(rows.select("_rid", "_id", "_source", F.xxhash64("_text").alias("_mark"), F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size")))
     sizes = checkpointed(sized.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_count")))
     sources = sizes.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_count")).alias("_words"), F.sum(F.when(F.col("_size") > 0, F.col("_count")).otherwise(0)).alias("_docs"), F.sum("_count").alias("_all"))
     goals = checkpointed(targets(sources, weights, share, most).withColumn("_key", F.col("_rank")))
@@ -107,14 +108,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rate = F.least(F.lit(float(most)), F.exp(F.least(F.coalesce(tilt, F.lit(0.0)), F.lit(700.0))))
     total = goals.agg(F.sum("_all")).first()[0] or 0
     each = joined_hot(sized, goals.select("_source", "_key", "_words", "_docs", "_all", "_target", "_tilt"), ["_source"], "_all", total)
-    blocks = F.pmod(F.xxhash64("_id", "_rid"), F.ceil(F.col("_all") / BLOCK))
-    each = each.select("_rid", "_id", "_size", F.col("_words").alias("_source_size"), "_target", rate.alias("_rate"), "_key", blocks.alias("_block"))
+    blocks = F.pmod(F.xxhash64("_id", "_mark"), F.ceil(F.col("_all") / BLOCK))
+    each = each.select("_rid", "_id", "_mark", "_size", F.col("_words").alias("_source_size"), "_target", rate.alias("_rate"), "_key", blocks.alias("_block"))
     kinds = dict(each.dtypes)
 
     def block(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("_size", "descending"), ("_id", "ascending"), ("_rid", "ascending")])
+        t = t.sort_by([("_size", "descending"), ("_id", "ascending"), ("_mark", "ascending"), ("_rid", "ascending")])
         copies = rounded(t["_size"].to_numpy(), t["_rate"].to_numpy(), most)
-        return t.drop_columns(["_key", "_block"]).append_column("_copies", pa.array(copies, pa.int64()))
+        return t.drop_columns(["_key", "_block", "_mark"]).append_column("_copies", pa.array(copies, pa.int64()))
 
     names = ("_rid", "_id", "_size", "_source_size", "_target", "_rate")
     return each.groupBy("_key", "_block").applyInArrow(block, ", ".join(f"{c} {kinds[c]}" for c in names) + ", _copies long")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from larkspur.llm import mixing
 from larkspur.llm.mixing import mix, mixed_rows, rounded, targets
 
 
@@ -81,3 +82,12 @@ def test_rows_and_empty(odd, empty):
     out = mixed_rows(odd)
     assert out.columns == odd.columns and out.count() == n and not taken
     assert mix(empty).collect() == [] and mixed_rows(empty).collect() == []
+
+
+def test_reruns_agree_over_other_partitions(spark, monkeypatch):
+    """Ids that repeat, ids that are missing and sources of many blocks too."""
+    monkeypatch.setattr(mixing, "BLOCK", 20)
+    rows = [(None if i % 50 == 0 else i // 2 if i % 7 == 0 else i, " ".join(["w"] * (i * 37 % 60) + [str(i % 90)]), ("a", "b", None, "d")[i * i % 11 % 4]) for i in range(1500)]
+    docs = spark.createDataFrame([*rows, *rows[:100]], "doc_id long, text string, source string")
+    taken = lambda n, by: sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.source_size, r.target, r.taken) for r in mix(docs.repartition(n, by)).collect())
+    assert taken(3, "text") == taken(7, "doc_id")
