@@ -303,8 +303,13 @@ def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield record_batch(_a=pa.array(found[0], pa.int64()), _b=pa.array(found[1], pa.int64()))
 
     pairs = checkpointed(pairs.select("_a", "_b"))
-    sizes, total = checkpointed(pairs.groupBy("_b").agg(F.count(F.lit(1)).alias("_k"))), pairs.count()
-    placed = joined_hot(pairs, sizes, ["_b"], "_k", total).select("_a", "_b", F.pmod(F.xxhash64("_a"), F.ceil(F.col("_k") / MEMBERS)).alias("_salt"))
+    total = pairs.count()
+    if not total:
+        return pairs
+    # One cell is enough for the others; so at most one row for each MEMBERS pairs is left.
+    sizes = checkpointed(pairs.groupBy("_b").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > MEMBERS))
+    met = pairs.join(F.broadcast(sizes), "_b", "left") if total <= BROADCAST_PAIRS else joined_hot(pairs, sizes, ["_b"], "_k", total, "left")
+    placed = met.select("_a", "_b", F.pmod(F.xxhash64("_a"), F.coalesce(F.ceil(F.col("_k") / MEMBERS), F.lit(1))).alias("_salt"))
     cells = placed.select("_b", "_salt").distinct()
     # Lists meet the pairs where they lie if the pairs are few enough to broadcast; then only the lists of pairs are shuffled.
     asked = F.broadcast if total <= BROADCAST_PAIRS else lambda x: x
@@ -314,21 +319,27 @@ def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.select("_b", "_a", "_n", "_list").mapInArrow(count, "_a long, _b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """_node, _comp (the least node it is linked with, however far) for each node of the edges (_a, _b): alternating large and small stars."""
-    edges = checkpointed(edges.where("_a != _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct())
-    before = None
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """_node, _comp (the least node it is linked with, however far) for each node of the edges (_a, _b): alternating large and small stars.
+
+    known: what this gave for other edges, which count too. Stars stand for all their links, so they are where the rounds begin.
+    """
+    spark, edges = edges.sparkSession, edges.where("_a != _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b"))
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("_node").alias("_a"), F.col("_comp").alias("_b")))
+    edges = checkpointed(edges.distinct())
     while True:
-        both = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+        tidy(spark)
+        both = edges.select(F.explode(F.array(F.struct("_a", "_b"), F.struct(F.col("_b").alias("_a"), F.col("_a").alias("_b")))).alias("e")).select("e.*")
+        # Done when all are stars of their least nodes: no node has two lesser ones, or one with greater ones.
+        less, more = F.count_if(F.col("_b") < F.col("_a")).alias("_less"), F.count_if(F.col("_b") > F.col("_a")).alias("_more")
+        if both.groupBy("_a").agg(less, more).where("_less > 1 or _less > 0 and _more > 0").isEmpty():
+            return edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_comp"))
         least = both.groupBy("_a").agg(F.least(F.min("_b"), F.col("_a")).alias("_m"))
         large = both.join(least, "_a").where("_b > _a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).distinct()
         least = large.groupBy("_a").agg(F.min("_b").alias("_m"))
         small = large.join(least, "_a").select(F.explode(F.array(F.struct(F.col("_a").alias("x"), F.col("_m").alias("y")), F.struct(F.col("_b").alias("x"), F.col("_m").alias("y")))).alias("e")).select(F.col("e.x").alias("_a"), F.col("e.y").alias("_b")).where("_a != _b").distinct()
         edges = checkpointed(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_comp"))
-        before = now
 
 
 def node_components(nodes: DataFrame, percent: int) -> DataFrame:
@@ -349,31 +360,36 @@ def node_components(nodes: DataFrame, percent: int) -> DataFrame:
     # For each node the hub with which it shares most columns.
     met = joined_hot(product, hubs, ["_h"], "_k", total).where((F.col("_node") != F.col("_hub.node")) & in_bounds(F.col("_n"), F.col("_hub.n")))
     best = met.groupBy("_node", F.col("_hub.node").alias("_to")).agg(F.count(F.lit(1)).alias("_k")).groupBy("_node").agg(F.max(F.struct("_k", F.negative("_to").alias("_minus"))).alias("_best"))
-    edges = checkpointed(linked(best.select(F.col("_node").alias("_a"), F.negative("_best._minus").alias("_b")), nodes, percent))
-    comps = components(edges)
+    comps = components(linked(best.select(F.col("_node").alias("_a"), F.negative("_best._minus").alias("_b")), nodes, percent))
 
-    def open_columns(comps: DataFrame) -> DataFrame:
-        """What is left of the product: columns with more than one component."""
-        labelled = product.join(comps, "_node", "left").withColumn("_comp", F.coalesce("_comp", "_node"))
+    def open_columns(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        """What is left of rows of the product: columns with more than one component."""
+        labelled = rows.join(comps, "_node", "left").withColumn("_comp", F.coalesce("_comp", "_node"))
         mixed = labelled.groupBy("_h").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo != _hi").select("_h")
         return by_column(labelled, mixed)
 
     # The most central node of each component in a column against that of the column.
-    left = checkpointed(open_columns(comps))
+    left = checkpointed(open_columns(product, comps))
+    tidy(nodes.sparkSession)
     first = left.groupBy("_h", "_comp").agg(F.min(central).alias("_own_hub"))
     hubs = first.groupBy("_h").agg(F.min("_own_hub").alias("_hub"))
     pairs = by_column(first, hubs).where((F.col("_own_hub.node") != F.col("_hub.node")) & in_bounds(F.col("_own_hub.n"), F.col("_hub.n"))).select(F.col("_own_hub.node").alias("_a"), F.col("_hub.node").alias("_b")).distinct()
-    edges = checkpointed(edges.unionByName(linked(pairs, nodes, percent)))
-    comps = components(edges)
+    more = checkpointed(linked(pairs, nodes, percent))
+    tidy(nodes.sparkSession)
+    if not more.isEmpty():
+        comps = components(more, comps)
+        # Components only grow, so columns that had one have one still.
+        left = checkpointed(open_columns(left.drop("_comp"), comps).select("_h", "_node", "_n", "_at", "_comp"))
+        tidy(nodes.sparkSession)
     # All pairs of different components that are left within the bounds.
-    left = checkpointed(open_columns(comps).select("_h", "_node", "_n", "_at", "_comp"))
     small = left.where(F.col("_at") <= F.col("_n") - needed(F.col("_n"), F.col("_n"), percent) + 1)
     a, b = small.select("_h", *(F.col(c).alias(f"{c}_a") for c in ("_node", "_n", "_at", "_comp"))), left.select("_h", *(F.col(c).alias(f"{c}_b") for c in ("_node", "_n", "_at", "_comp")))
     need = needed(F.col("_n_a"), F.col("_n_b"), percent)
     ordered = (F.col("_n_a") < F.col("_n_b")) | ((F.col("_n_a") == F.col("_n_b")) & (F.col("_node_a") < F.col("_node_b")))
     rest = a.join(b, "_h").where((F.col("_comp_a") != F.col("_comp_b")) & ordered & in_bounds(F.col("_n_a"), F.col("_n_b")) & (F.col("_at_a") <= F.col("_n_a") - need + 1) & (F.col("_at_b") <= F.col("_n_b") - need + 1))
-    edges = edges.unionByName(linked(rest.select(F.col("_node_a").alias("_a"), F.col("_node_b").alias("_b")).distinct(), nodes, percent))
-    return components(edges)
+    more = checkpointed(linked(rest.select(F.col("_node_a").alias("_a"), F.col("_node_b").alias("_b")).distinct(), nodes, percent))
+    tidy(nodes.sparkSession)
+    return comps if more.isEmpty() else components(more, comps)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

@@ -149,3 +149,40 @@ def test_shingles():
     s = j.Shingler()
     assert len(s.of("a b c d e f a b c d e f")) == len(shingles("a b c d e f a b c d e f"))
     assert np.array_equal(s.of("A b\tc d e"), s.of("a B c\x0bD e")) and not np.array_equal(s.of("a b"), s.of("b a")) and len(s.of("a")) == 1
+
+
+def test_components_go_on_from_stars(spark):
+    """Components of some edges and then of more are those of all, as brute force gives them."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(k, k + 1) for k in range(300, 340)] + [(400, k) for k in range(401, 440)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if x != r}
+    frame = lambda rows: spark.createDataFrame(rows, "_a long, _b long")
+    some = j.components(frame(edges[:90]))
+    assert {r._node: r._comp for r in j.components(frame(edges[90:]), some).collect()} == want
+    assert {r._node: r._comp for r in j.components(frame(edges)).collect()} == want
+
+
+def test_rounds_end_with_the_work(spark, monkeypatch):
+    """Links that are stars already take no round, and no links add no components."""
+    written, real = [], j.checkpointed
+    monkeypatch.setattr(j, "checkpointed", lambda df: written.append(df.columns) or real(df))
+    stars = spark.createDataFrame([(k, 0) for k in range(1, 30)] + [(50, 40)], "_a long, _b long")
+    assert {r._node: r._comp for r in j.components(stars).collect()} == {**{k: 0 for k in range(1, 30)}, 50: 40}
+    assert len(written) == 1
+    nodes = spark.createDataFrame([], "_node long, _n long, _list binary")
+    assert j.linked(spark.createDataFrame([], "_a long, _b long"), nodes, 75).collect() == [] and len(written) == 2
+
+
+def test_shuffles_are_let_go_between_rounds(spark, monkeypatch):
+    """Each round lets go what the one before has shuffled, as what it found is written by then."""
+    did, written, tidied = [], j.checkpointed, j.tidy
+    monkeypatch.setattr(j, "checkpointed", lambda df: did.append("written") or written(df))
+    monkeypatch.setattr(j, "tidy", lambda spark: did.append("tidied") or tidied(spark))
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "_a long, _b long")
+    assert {r._node: r._comp for r in j.components(path).collect()} == dict.fromkeys(range(1, 41), 0)
+    assert len(did) > 4 and did == ["written", "tidied"] * (len(did) // 2)
