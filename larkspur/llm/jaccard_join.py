@@ -12,7 +12,7 @@ The incidence matrix of documents by shingles is blocked: by documents (up to BL
    counted against the most central node (the one with the least share of shingles of its own) of the columns it is in,
    links make components, then the most central node of each component in a column is counted against the column's. What
    remains are pairs of different components within the bounds, and all of these are counted: no link between components
-   is missed, whichever pairs within a component were left uncounted.
+   is missed, whichever pairs within a component were left uncounted. Each step goes on from the components and columns that the one before left.
 4. Links lie within components, so jaccard_join and jaccard_pairs count every pair of nodes of a component. A component of over
    CELL bytes of lists is dealt to parts by node, and each pair of parts is a cell of its own; overlaps of a cell add up in
    blocked products. jaccard_components and one_of_each need components only and skip this.

@@ -186,3 +186,13 @@ def test_shuffles_are_let_go_between_rounds(spark, monkeypatch):
     path = spark.createDataFrame([(k, k + 1) for k in range(40)], "_a long, _b long")
     assert {r._node: r._comp for r in j.components(path).collect()} == dict.fromkeys(range(1, 41), 0)
     assert len(did) > 4 and did == ["written", "tidied"] * (len(did) // 2)
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_partners_in_several_cells(spark, monkeypatch, broadcast):
+    """A node with more partners than a cell takes meets them all, whether the pairs are broadcast or shuffled."""
+    monkeypatch.setattr(j, "MEMBERS", 3)
+    monkeypatch.setattr(j, "BROADCAST_PAIRS", broadcast)
+    texts = corpus(1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(docs).collect()} == dict(enumerate(brute(texts)))
