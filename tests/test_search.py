@@ -10,6 +10,7 @@ from larkspur.operators.batch import Batch
 from larkspur.operators.candidates import asked_parts, distinct_values, fuzzy_candidates, fuzzy_scored, semantic_candidates, similarities, values_with
 from larkspur.operators.embedding import hashed_trigrams
 from larkspur.plans.search import Catalogue
+from larkspur.registry import queries
 from larkspur.sources.schema import PRODUCTS
 
 ROWS = [
@@ -200,3 +201,22 @@ def test_wildcards_in_any_case(spark):
     got = {(r.q, r.value) for r in found.collect()}
     rows = spark.createDataFrame([(p, n) for p in parts for n in names], "q string, n string")
     assert got == {(r.q, r.v) for r in rows.where(has(F.col("n"), F.col("q"))).select("q", F.lower("n").alias("v")).collect()} and len(got) > 15
+
+
+#: Queries whose joins with all products were planned by an estimate.
+JOINED = ("fuzzy_none",)
+
+
+@pytest.mark.parametrize("name", JOINED)
+def test_no_broadcast_of_the_catalogue(spark, sf, name):
+    """What is broadcast from files has been grouped or cut to a limit: never rows as they are, however small their files make them look."""
+    plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in plan]
+    found = 0
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            under = "\n".join(plan[i + 1 : end])
+            found += 1
+            assert "FileScan" not in under or any(x in under for x in ("Aggregate", "Limit", "TakeOrdered")), under
+    assert found
