@@ -204,7 +204,7 @@ def test_wildcards_in_any_case(spark):
 
 
 #: Queries whose joins with all products were planned by an estimate.
-JOINED = ("fuzzy_none", "fuzzy_rung1", "fuzzy_rung2", "fuzzy_rung3")
+JOINED = ("fuzzy_none", "fuzzy_rung1", "fuzzy_rung2", "fuzzy_rung3", "candidate_union")
 
 
 @pytest.mark.parametrize("name", JOINED)
