@@ -204,7 +204,7 @@ def test_wildcards_in_any_case(spark):
 
 
 #: Queries whose joins with all products were planned by an estimate.
-JOINED = ("fuzzy_none", "fuzzy_rung1", "fuzzy_rung2", "fuzzy_rung3", "candidate_union", "hybrid_search", "hybrid_no_result", "hybrid_semantic_only", "hybrid_short", "hybrid_typo", "response_envelope")
+JOINED = ("fuzzy_none", "fuzzy_rung1", "fuzzy_rung2", "fuzzy_rung3", "candidate_union", "hybrid_search", "hybrid_no_result", "hybrid_semantic_only", "hybrid_short", "hybrid_typo", "response_envelope", "search_many")
 
 
 @pytest.mark.parametrize("name", JOINED)
