@@ -10,7 +10,7 @@ from larkspur.operators.batch import Batch
 from larkspur.operators.candidates import asked_parts, distinct_values, fuzzy_candidates, fuzzy_scored, semantic_candidates, similarities, values_with
 from larkspur.operators.embedding import hashed_trigrams
 from larkspur.plans.search import Catalogue
-from larkspur.registry import queries
+from larkspur.registry import oracle_sql, queries
 from larkspur.sources.schema import PRODUCTS
 
 ROWS = [
@@ -220,3 +220,18 @@ def test_no_broadcast_of_the_catalogue(spark, sf, name):
             found += 1
             assert "FileScan" not in under or any(x in under for x in ("Aggregate", "Limit", "TakeOrdered")), under
     assert found
+
+
+def test_lower_rungs_whole(spark, tmp_path):
+    """fuzzy_rung1 scores all rows of the lower rungs, as its SQL: where no row reaches the first, the best of them are found behind 200 others."""
+    import duckdb
+
+    rows = [(i, "small widget thing here" if i >= 250 else "small thing here", "b", "c", 1, 2.0) for i in range(300)]
+    place = str(tmp_path / "part.parquet")
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(place)
+    got = sorted((r.id, r.fuzzy_score, r.rung) for r in queries()["fuzzy_rung1"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{place}/*.parquet'")
+    want = sorted(con.execute(oracle_sql()["fuzzy_rung1"]).fetchall())
+    assert [(i, r) for i, _, r in got] == [(i, r) for i, _, r in want] == [(i, 2) for i in range(250, 300)]
+    assert [x for _, x, _ in got] == pytest.approx([x for _, x, _ in want])
